@@ -44,3 +44,44 @@ least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id USING (doc_id)
 """
+
+
+@query
+def op7_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside benchmark windows of 13 words."""
+    from .decontam import judged
+
+    found = judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    ids = F.concat_ws(",", F.array_sort("items"))
+    return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE_SQL["op7_wu_manber_decontamination"] = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), test AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+  FROM item, range(1, len(w) - least(13, len(w)) + 2) AS r(i) WHERE len(w) > 0
+), place AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS s
+  FROM doc, (SELECT DISTINCT size FROM test), range(1, len(w) - size + 2) AS r(i) WHERE len(w) >= size
+), found AS (SELECT doc_id, place.size, i, item_id FROM place JOIN test ON place.size = test.size AND place.s = test.s),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT DISTINCT doc_id, size, i FROM found), range(0, size) AS r(k) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(xs, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
+@query
+def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from labels.toxic."""
+    from ._cluster import crc32_of
+    from .toxicity import scored
+
+    found = scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.pmod(crc32_of(F.col("doc.doc_id")), F.lit(5)) == 0, F.lit(False))
+    return found.select("doc.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
