@@ -20,7 +20,7 @@ from ._text import ALNUM, U, Words, mix, word_runs
 BITS = 20
 #: At most so many labelled rows are learned from: those with the smallest hashes of their ids.
 LEARNED_ROWS = 16_384
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.0, 1.0, 2
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 3.0, 0.0, 4
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
