@@ -7,9 +7,11 @@ each. A pair of similarity s shares a table with probability
 (1 - (1 - s**3)**8)**2: 0.999 at 0.85, 0.9999 at 0.9.
 
 Texts with equal sets are first put together as one class; every candidate pair of
-classes is confirmed on full sets. In a table, each class is compared with the
-table's smallest; what isn't joined by that is compared across its components in a
-second pass, so that no candidate is lost and groups of copies aren't expanded.
+classes is confirmed on full sets. In a table, each class is compared with one head,
+another in each table. Tables that this leaves in more than one component are open:
+two sets of similarity s share one of the (1 - s) * n + 1 rarest shingles of either,
+so the classes of open tables are compared, across components only, with those that
+share such a shingle. No link of a table is lost, and groups of copies aren't expanded.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._cluster import batches, bounded, components, table
@@ -114,10 +116,11 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     twice = some.groupBy("doc_id").agg(F.count_distinct("fp1", "fp2").alias("n")).where("n > 1").select("doc_id")
     heads = some.join(prints.select("fp1", "fp2", F.col("rep").alias("doc_id")), ["fp1", "fp2", "doc_id"], "left_semi")
     groups = _tables(heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "half").dropDuplicates(["rep", "half"]))
-    pairs = table(groups.where(_size_can(percent)).select("a", "b").distinct())
+    pairs = table(groups.where(_size_can(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = table(_confirmed(pairs, texts, shingle, percent))
     labels = components(links)
-    more = table(_rest(groups, labels, percent).join(pairs, ["a", "b"], "left_anti"))
+    open_ = table(_open(groups, labels))
+    more = table(_across(_rarest(open_, texts, shingle, percent), percent).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = table(links.unionByName(_confirmed(more, texts, shingle, percent)))
         labels = components(links)
@@ -130,11 +133,12 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
 
 
 def _tables(heads: DataFrame) -> DataFrame:
-    """(key, a, b, na, nb): a is the smallest class in table key as far as seen, b another.
+    """(key, a, b, na, nb): a is the head of table key as far as seen, b another class in it.
 
-    A task first puts its own classes together: a key leaves it as one row, with pairs
-    of its smallest class and each other one, which need no further grouping. So a key
-    that very many classes share isn't gathered anywhere.
+    A task first puts its own classes together: a key leaves it as one row, its head,
+    with pairs of that and each other class, which need no further grouping. So a key
+    that very many classes share isn't gathered anywhere. Heads are drawn by a hash of
+    key and class: a group that shares many tables has many different heads.
     """
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +148,7 @@ def _tables(heads: DataFrame) -> DataFrame:
             half = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=U).reshape(-1, 2 * TABLES)
             key = mix(half[:, :TABLES, None] * U(0x9E3779B97F4A7C15) + mix(half[:, None, TABLES:] ^ U(5)) + place.reshape(1, TABLES, TABLES)).reshape(-1).view(np.int64)
             rep, n = np.repeat(rep, TABLES * TABLES), np.repeat(n, TABLES * TABLES)
-            order = np.lexsort((rep, key))
+            order = np.lexsort((mix(rep.view(U) ^ key.view(U)), key))
             key, rep, n = key[order], rep[order], n[order]
             head = np.ones(len(key), dtype=bool)
             head[1:] = key[1:] != key[:-1]
@@ -152,7 +156,7 @@ def _tables(heads: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep[at]), pa.array(rep, mask=head), pa.array(n[at]), pa.array(n, mask=head)], names=["key", "a", "b", "na", "nb"])
 
     def far(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the key at hand and its smallest class
+        last = None  # the key at hand and its head
         for batch in it:
             done = batch.filter(batch.column(2).is_valid())
             heads = batch.filter(batch.column(2).is_null())
@@ -173,22 +177,52 @@ def _tables(heads: DataFrame) -> DataFrame:
     schema = "key long, a long, b long, na int, nb int"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = heads.mapInArrow(near, schema)
-    dealt = first.repartition(parts, F.coalesce("b", "key")).sortWithinPartitions("key", "a")
+    dealt = first.repartition(parts, F.coalesce("b", "key")).sortWithinPartitions("key", F.xxhash64("key", "a"), "a")
     return table(dealt.mapInArrow(far, schema), rows=4000)
 
 
-def _rest(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in one table but, so far, in different components.
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(m, n, c): the classes of tables with more than one component, sizes of their sets, components."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("m"), F.col("na").alias("n")), F.struct(F.col("b").alias("m"), F.col("nb").alias("n"))))
+    members = groups.select("key", ends.alias("x")).select("key", "x.m", "x.n").distinct()
+    members = table(members.join(labels.select(F.col("id").alias("m"), "label"), "m", "left").select("key", "m", "n", F.coalesce("label", "m").alias("c")))
+    mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    return members.join(mixed, "key", "left_semi").select("m", "n", "c").distinct()
+
 
-    A table's classes are dealt to blocks of about BLOCK, and tasks compare two blocks.
+def _rarest(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(key, m, n, c): the rarest shingles, as keys, of open classes, as far as others have them too.
+
+    A set of n needs ceil(s * n) members in common with any other; so of its members by
+    rising frequency, one of the first n - ceil(s * n) + 1 must be.
     """
-    members = groups.select("key", F.explode(F.array(F.struct(F.col("a").alias("m"), F.col("na").alias("n")), F.struct(F.col("b").alias("m"), F.col("nb").alias("n")))).alias("x")).select("key", "x.m", "x.n").distinct()
-    members = table(members.join(labels.select(F.col("id").alias("m"), "label"), "m", "left").select("key", "m", "n", F.coalesce("label", "m").alias("c")))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids = batch.column(0).to_numpy()
+            for i, j, words in word_runs(batch.column(1), limit=1 << 18):
+                sets = _sets(words, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], [len(x) for x in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["m", "key"])
+
+    some = texts.join(bounded(open_.select(F.col("m").alias("doc_id")), 16), "doc_id", "left_semi")
+    tokens = table(batches(some.select("doc_id", "text"), run, "m long, key long"))
+    shared = tokens.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
+    shared = tokens.join(shared, "key").withColumns({"rank": F.row_number().over(Window.partitionBy("m").orderBy("f", "key")), "of": F.count("*").over(Window.partitionBy("m"))})
+    least_common = F.floor((F.col("n") * percent + 99) / 100)
+    return shared.join(open_, "m").where(F.col("rank") + F.col("n") - F.col("of") <= F.col("n") - least_common + 1).select("key", "m", "n", "c")
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one key in different components.
+
+    A key's members are dealt to blocks of about BLOCK, and tasks compare two blocks.
+    """
+    members = table(members)
     mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "m", "n", "c", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "m", "n", "c")
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def cross(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
