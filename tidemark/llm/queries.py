@@ -85,3 +85,11 @@ def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.pmod(crc32_of(F.col("doc.doc_id")), F.lit(5)) == 0, F.lit(False))
     return found.select("doc.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the divergence rules."""
+    from .quality import judged
+
+    return judged(read(spark, sf_dir, "documents"))
