@@ -93,3 +93,25 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judged
 
     return judged(read(spark, sf_dir, "documents"))
+
+
+def _is(kind: str) -> Callable:
+    return lambda x: F.when(x["kind"] == kind, 1)
+
+
+@query
+def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    from .pii import KINDS, joined, spans
+
+    found = spans(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.array_compact(F.transform("base", _is(k)))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    return found.select("doc.doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences of repeated spans."""
+    from .sentences import deduplicated
+
+    return deduplicated(read(spark, sf_dir, "documents")).select("doc.doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")
