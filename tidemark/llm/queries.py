@@ -115,3 +115,27 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentences import deduplicated
 
     return deduplicated(read(spark, sf_dir, "documents")).select("doc.doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")
+
+
+@query
+def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as read back from their archives, in order of capture."""
+    from .warc import round_trip
+
+    found = round_trip(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+ORACLE_SQL["op9_warc_index_merge"] = r"""
+WITH page AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT page_id, payload, hex, list_transform(range(0, 32), lambda i: CAST(
+    (('0x' || substr(hex || '0', 1 + (i * 5) // 4, 3))::INTEGER >> (12 - 5 - (i * 5) % 4)) & 31 AS INTEGER)) AS fives FROM page
+), kept AS (SELECT hex, max(page_id) AS kept FROM page GROUP BY hex)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+  array_to_string(list_transform(fives, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM bits JOIN kept USING (hex)
+"""
