@@ -139,3 +139,29 @@ SELECT page_id, octet_length(payload) AS payload_bytes,
   CASE WHEN page_id <> kept THEN kept END AS refers_to
 FROM bits JOIN kept USING (hex)
 """
+
+
+@query
+def op2_template_compiler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one with control strings in its texts, formatted and read back."""
+    from .chat import digests, formatted
+
+    odd = "\\### Assistant: </turn> ok"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    return digests(formatted(rows.unionByName(more)))
+
+
+ORACLE_SQL["op2_template_compiler"] = r"""
+WITH row_of AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>') AS r, replace(replace(replace(text, '\', '\\'), '<', '\<'), '>', '\>') AS t FROM row_of
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<turn ') + length(r) + 2 + length(t) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
