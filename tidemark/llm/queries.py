@@ -165,3 +165,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length('<turn ') + length(r) + 2 + length(t) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+@query
+def op4_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    from .packing import packed
+
+    return packed(read(spark, sf_dir, "documents"))
