@@ -132,6 +132,22 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     return signs.join(of, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
 
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs with one of each component: that of the smallest doc_id.
+
+    Texts without words and rows with a null doc_id stay; of rows with one doc_id, one stays.
+    """
+    found = table(classes(docs, similarity=similarity))
+    gone = table(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(bounded(gone.withColumnRenamed("doc_id", "_gone"), 16), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    twice = table(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
+    if not twice.limit(1).count():
+        return kept
+    same = F.col("doc_id").cast("long") == F.col("_twice")
+    one = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, same, "left_anti").unionByName(one)
+
+
 def _tables(heads: DataFrame) -> DataFrame:
     """(key, a, b, na, nb): a is the head of table key as far as seen, b another class in it.
 

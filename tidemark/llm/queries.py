@@ -173,3 +173,14 @@ def op4_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
     return packed(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz scores of all documents, learned from those with remainders other than 2."""
+    from ._cluster import crc32_of
+    from .katz import scores
+
+    held_out = F.coalesce(F.pmod(crc32_of(F.col("doc_id")), F.lit(7)) == 2, F.lit(False))
+    found = scores(read(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
