@@ -207,10 +207,10 @@ def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _rarest(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(key, m, n, c): the rarest shingles, as keys, of open classes, as far as others have them too.
+    """(key, m, n, c, at): the rarest shingles, as keys, of open classes, as far as others have them too.
 
     A set of n needs ceil(s * n) members in common with any other; so of its members by
-    rising frequency, one of the first n - ceil(s * n) + 1 must be.
+    rising frequency, one of the first n - ceil(s * n) + 1 must be. at: its place in that order.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,37 +225,41 @@ def _rarest(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     shared = tokens.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     shared = tokens.join(shared, "key").withColumns({"rank": F.row_number().over(Window.partitionBy("m").orderBy("f", "key")), "of": F.count("*").over(Window.partitionBy("m"))})
     least_common = F.floor((F.col("n") * percent + 99) / 100)
-    return shared.join(open_, "m").where(F.col("rank") + F.col("n") - F.col("of") <= F.col("n") - least_common + 1).select("key", "m", "n", "c")
+    at = F.col("rank") + F.col("n") - F.col("of")  # those that no other has come first
+    return shared.join(open_, "m").where(at <= F.col("n") - least_common + 1).select("key", "m", "n", "c", at.cast("int").alias("at"))
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one key in different components.
 
+    Of a pair's common shingles the first must leave room, behind its places in both, for
+    as many as the similarity takes: that is what keeps the pairs of a large group few.
     A key's members are dealt to blocks of about BLOCK, and tasks compare two blocks.
     """
     members = table(members)
     mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "m", "n", "c", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "m", "n", "c")
+    dealt = dealt.select("key", "m", "n", "c", "at", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "m", "n", "c", "at")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def cross(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-            _, i, j, mine, m, n, c = np.concatenate(rows, axis=1)
+            _, i, j, mine, m, n, c, at = np.concatenate(rows, axis=1)
             left, right = (np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0]))
             found = []
             for x in left:
                 y = right if i[0] != j[0] else right[right > x]
-                y = y[(c[y] != c[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+                common = -(-percent * (n[y] + n[x]) // (100 + percent))
+                y = y[(c[y] != c[x]) & (1 + np.minimum(n[y] - at[y], n[x] - at[x]) >= common)]
                 found.append(np.stack([np.minimum(m[x], m[y]), np.maximum(m[x], m[y])]))
             a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held: list[np.ndarray] = []
         for batch in it:
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(7)])
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(8)])
             cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
             for part in np.split(rows, cuts, axis=1):
                 if held and part.shape[1] and not np.array_equal(held[0][:3, 0], part[:3, 0]):
