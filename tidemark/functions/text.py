@@ -112,7 +112,7 @@ def json_version(body: Column) -> Column:
 def json_versions(body: Column) -> Column:
     """Distinct values of version fields in JSON, as far as they look like versions."""
     names = [*VERSION_FIELDS, "version_number", "packageVersion", "name", "display_version"]
-    found = F.transform(F.regexp_extract_all(body, F.lit(rf"""(?i)["'](?:{_either(names)})["']\s*:\s*["']([^"']{{1,40}})["']"""), 1), F.trim)
+    found = F.transform(F.regexp_extract_all(body, F.lit(rf"""(?i)["'](?:{_either(names)})["']\s*:\s*["']([^"']{{1,40}})["']"""), 1), lambda v: F.trim(v))
     bad = r"(?i)^[A-Za-z0-9_.-]+@|^https?://|^\d{4}[-.]?\d{2}[-.]?\d{2}|^\d{4}[.-]\d{1,2}|^[0-9a-f]{16,}$"
     return F.array_distinct(F.filter(found, lambda v: v.rlike("[0-9]") & (F.length(v) <= 30) & ~v.rlike(bad) & ~(v.rlike(r"^\d{6,}") & ~v.contains("."))))
 
@@ -172,7 +172,7 @@ def changelog_kind(html: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def not_a_changelog(text: Column) -> Column:

@@ -29,7 +29,7 @@ _KINDS = [
     f"concat({_HEAD.format(v=repr('2026.3'))}, '<p>Version 2026.3 and version ', {_V}, ' are here.</p></body></html>')",
     f"concat({_HEAD.format(v=repr('beta'))}, '<p>Download ', {_V}, '-rc2 or ', {_V}, '-beta1 today.</p></body></html>')",
     f"concat('{{\"name\": \"', {_NAME}, '\", \"version\": \"', {_V}, '\", \"minimumOsVersion\": \"15.1\"}}')",
-    f"concat({_HEAD.format(v=repr('feed'))}, '<div id=\"root\"></div></body></html>')",
+    f"concat({_HEAD.format(v=repr('feed'))}, '<div id=\"root\"></div><a href=\"/notes/', {_NAME}, '-', {_V}, '/\">News</a><a href=\"/notes/', {_NAME}, '-', {_older(2)}, '/\">More</a></body></html>')",
     "''",
     "CAST(NULL AS STRING)",
 ]
