@@ -48,14 +48,14 @@ def batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
-def small(df: DataFrame, bytes_per_row: int) -> bool:
-    """Whether df (a table) may be broadcast, by its counted rows."""
-    return df.count() * bytes_per_row <= BROADCAST_BYTES
+def bounded(df: DataFrame, bytes_per_row: int, more: Column | None = None) -> DataFrame:
+    """df (of a table), with a broadcast hint if its counted size allows; else Spark joins by shuffle.
 
-
-def bounded(df: DataFrame, bytes_per_row: int) -> DataFrame:
-    """df, with a broadcast hint if its counted size allows; else Spark joins by shuffle."""
-    return F.broadcast(df) if small(df, bytes_per_row) else df.hint("merge")
+    more: bytes of a row's arrays.
+    """
+    size = F.lit(bytes_per_row) if more is None else F.lit(bytes_per_row) + more
+    total = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df.hint("merge")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -166,7 +166,7 @@ def spans(docs: DataFrame, keep: bool = False) -> DataFrame:
     good = table(scores(table(edges)).where(F.col("score") >= MIN_SCORE).select("value"))
     more = seen.where("not seed").join(bounded(good, 16), "value", "left_semi")
     more = table(more.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more")))
-    out = found.drop("seen").join(bounded(more, 200), "uid", "left")
+    out = found.drop("seen").join(bounded(more, 64, F.size("more") * 48), "uid", "left")
     return out.select("doc", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._cluster import batches, bounded, table
@@ -65,7 +65,7 @@ def text_spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): sentences (from, to; to included) in spans that aren't the first of their kind."""
+    """(doc_id, spans): ranges of sentences (from, to; to included) in spans that aren't the first of their kind."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "hash long, doc_id long, a int, b int, again boolean"
 
@@ -112,7 +112,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     # spans already known as repeated need no key and go anywhere
     dealt = spans.repartition(parts, F.when(F.col("again"), F.xxhash64("doc_id", "a")).otherwise(F.col("hash"))).sortWithinPartitions("hash", "doc_id", "a")
     found = dealt.mapInArrow(far, "doc_id long, a int, b int")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    whole = F.array_sort(F.collect_list(F.struct("a", "b")))
+    return found.distinct().groupBy("doc_id").agg(whole.alias("spans")).select("doc_id", F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), _joined).alias("spans"))
+
+
+def _joined(done: Column, x: Column) -> Column:
+    """done with one more range, joined to the last one if they touch."""
+    last = F.try_element_at(done, F.lit(-1))
+    longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
+    return F.when(last["b"] + 1 >= x["a"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Texts of under two sentences or MIN_WORDS words have no span.
     """
     spans = table(repeated(docs), rows=20_000)
-    spans = bounded(spans.select(F.col("doc_id").alias("key"), "spans"), 400)
+    spans = bounded(spans.select(F.col("doc_id").alias("key"), "spans"), 64, F.size("spans") * 32)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "text", F.col("doc_id").cast("long").alias("key"))
     rows = rows.join(spans, "key", "left").select("doc", "text", "spans")
 
