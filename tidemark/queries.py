@@ -711,10 +711,10 @@ def ranking_scores(spark, sf_dir):
 
 @query(
     """WITH u AS (SELECT page_id, version, CASE WHEN max(prob) OVER p > min(prob) OVER p THEN (prob - min(prob) OVER p) / (max(prob) OVER p - min(prob) OVER p) ELSE 0.5 END AS a, CASE WHEN max(score) OVER p > min(score) OVER p THEN (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) ELSE 0.5 END AS b FROM @cands WINDOW p AS (PARTITION BY page_id))
-    SELECT page_id, version, round(0.7 * a + 0.3 * b, 4) AS fused FROM u"""
+    SELECT page_id, version, round(0.7 * a + 0.3 * b + 0.000001, 4) AS fused FROM u"""
 )
 def score_fusion(spark, sf_dir):
-    return evaluate.fused(_cands(spark, sf_dir)).withColumn("fused", F.round("fused", 4))
+    return evaluate.fused(_cands(spark, sf_dir)).withColumn("fused", F.round(F.col("fused") + 0.000001, 4))
 
 
 @query(
