@@ -15,6 +15,7 @@ d(c) is the Good-Turing discount of counts up to K.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,22 +28,28 @@ from pyspark.sql import functions as F
 from ._cluster import batches, table
 from ._text import U, mix, splitmix, word_runs
 
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 K, EXTRA = 5, 0.01
 END, START = splitmix(77, 2)
 _DOC_BITS = 24
 
 
+@functools.cache
+def _zstd() -> tuple:
+    """One compressor and decompressor for a worker's life."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray, delta: bool = False) -> bytes:
     """Whole numbers, their bytes by significance, compressed; delta for rising ones."""
     x = x.astype(np.uint64)
     if delta and len(x):
         x = np.concatenate([x[:1], np.diff(x)])
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpack(b: bytes, delta: bool = False) -> np.ndarray:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
+    x = np.frombuffer(_zstd()[1].decompress(b), dtype=np.uint8)
     x = np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64).reshape(-1)
     return np.cumsum(x, dtype=np.uint64) if delta else x
 
@@ -110,6 +117,7 @@ def _asked(docs: DataFrame, bits: int) -> DataFrame:
             ids = [x for h in held for x in h[0]]
             train = np.concatenate([h[1] for h in held])
             sizes, tokens = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+            held.clear()
             number = part << 12 | made
             learns = np.repeat(train, sizes)
             words, of, seen = np.unique(tokens, return_inverse=True, return_counts=True)
@@ -120,10 +128,14 @@ def _asked(docs: DataFrame, bits: int) -> DataFrame:
             head = _pack(np.concatenate([[len(ids)], sizes, train, null, np.array([x or 0 for x in ids], dtype=np.int64).view(U)]).astype(U))
             yield _rows([("D", int(splitmix(number, 1)[0] >> U(1)), number, -1, head, words[by_rank].tobytes(), _pack(rank[of]), None)])
             counts = np.bincount(of, learns, len(words)).astype(np.int64)
-            del of, rank
+            del of, rank, seen, by_rank
             yield _rows([("W", _to("W", k), number, k, _pack(words[at], True), _pack(counts[at]), None, None) for k, at in _slices(words, bits)])
-            pairs, of = np.unique(_bigrams(_before(tokens, sizes), tokens), return_inverse=True)
+            del words
+            pairs = _bigrams(_before(tokens, sizes), tokens)
+            del tokens
+            pairs, of = np.unique(pairs, return_inverse=True)
             counts = np.bincount(of, learns, len(pairs)).astype(np.int64)
+            del of, learns
             yield _rows([("B", _to("B", k), number, k, _pack(pairs[at], True), _pack(counts[at]), None, None) for k, at in _slices(pairs, bits)])
 
         held, size = [], 0
@@ -219,8 +231,9 @@ def _chunk_scores(rows: list[tuple], words_of: list[int], pairs_of: list[int], b
     c_before = np.empty_like(c)
     c_before[1:] = c[:-1]
     c_before[starts] = end_count  # as many texts begin as end
-    del ranks
-    pairs, one, of = np.unique(_bigrams(before, tokens), return_index=True, return_inverse=True)
+    del ranks, order, counts
+    _, one, of = np.unique(_bigrams(before, tokens), return_index=True, return_inverse=True)
+    del tokens
     seen = np.concatenate([_unpack(r[4]) for r in answers if r[0] == "RB"]).astype(np.int64)
     first = np.concatenate([np.unpackbits(np.frombuffer(r[5], dtype=np.uint8), count=len(_unpack(r[4]))) for r in answers if r[0] == "RB"]).astype(bool)
     total, kinds = words_of[K + 1], words_of[K + 2]
@@ -269,7 +282,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     bits = max(2, (parts - 1).bit_length() + 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     dealt = _asked(rows, bits).repartition(parts, "to").sortWithinPartitions("kind", "slice", "to", "chunk")
-    answered = table(dealt.mapInArrow(_answers, _ROW), rows=50)
+    answered = table(dealt.mapInArrow(_answers, _ROW), rows=20)
     stats = answered.where("stats is not null").select("kind", F.posexplode("stats").alias("at", "n")).groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
     known = {(r["kind"], r["at"]): r["n"] for r in stats}
     words_of, pairs_of = ([known.get((kind, i), 0) for i in range(K + 3)] for kind in ("MW", "MB"))
@@ -280,7 +293,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
             yield from _chunk_scores(group, words_of, pairs_of, bits)
 
     by_chunk = answered.where(F.col("kind").isin("D", "RW", "RB")).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "slice")
-    scored = table(by_chunk.mapInArrow(score, _SCORED), rows=50)
+    scored = table(by_chunk.mapInArrow(score, _SCORED), rows=20)
     total, d1, d2 = words_of[K + 1], discounts(words_of[: K + 1]), discounts(pairs_of[: K + 1])
 
     def weights(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +312,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
 
     _let_go(spark)
     sums = scored.where("kind = 'H'").select("slice", "a", "b", "uid").repartition(parts, "uid").sortWithinPartitions("slice").select("slice", "a", "b")
-    alpha = table(sums.mapInArrow(weights, "h long, alpha double"), rows=50)
+    alpha = table(sums.mapInArrow(weights, "h long, alpha double"), rows=20)
     more = scored.where("kind = 'U'").select("uid", "h", "n").join(alpha, "h").groupBy("uid").agg(F.sum(F.col("n") * F.col("alpha")).alias("more"))
     out = scored.where("kind = 'P'").select("uid", "doc_id", "train", "n_tokens", "n_known", "base_score", "score").join(more, "uid", "left")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
