@@ -57,15 +57,18 @@ def occurrences(pages: DataFrame) -> DataFrame:
         ("body", T.keyword_text(T.body_text(F.col("html")))),
         ("heading", T.headings(F.col("html"))),
     ]
-    rows = [F.struct(F.lit(scope).alias("scope"), F.lit(name).alias("pattern"), F.regexp_extract_all(T.without_noise(text), F.lit(regex), 0).alias("found")) for scope, text in parts for name, regex in PATTERNS.items()]
     header = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)(?:Changes?\s+with\s+[^\s<]+\s+|Fixed\s+in\s+)v?(\d+(?:\.\d+){1,3})(?=\s|<|$)"), 1)
     urls = T.links(F.col("html"))
     plain = F.filter(urls, lambda u: ~u.rlike(r"(?i)/changelog/|\.(?:js|css|mjs|cjs|map)(?:\?|#|$)"))
     by_url = F.filter(F.transform(plain, lambda u: F.regexp_extract(u, r"(?<![A-Za-z0-9_])v?\d+\.\d+\.\d+(?![A-Za-z0-9_])", 0)), lambda v: v != "")
     by_log = F.filter(F.transform(urls, lambda u: F.regexp_extract(u, r"(?i)/changelog/[^\"'\s>]*[-_/]v(\d+(?:\.\d+){1,3})", 1)), lambda v: v != "")
     single = lambda scope, found: F.struct(F.lit(scope).alias("scope"), F.lit("semver").alias("pattern"), found.alias("found"))
-    every = base.select("page_id", F.posexplode(F.array(single("changelog-header", header), *rows, single("url", by_url), single("changelog-url", by_log))).alias("at", "x"))
-    found = every.select("page_id", "at", "x.scope", "x.pattern", F.posexplode("x.found").alias("nth", "raw"))
+    texts = base.select("page_id", F.posexplode(F.array(*[F.struct(F.lit(scope).alias("scope"), T.without_noise(text).alias("text")) for scope, text in parts])).alias("part", "x")).where("x.text <> ''")
+    by_pattern = F.array(*[F.struct(F.lit(name).alias("pattern"), F.regexp_extract_all("x.text", F.lit(regex), 0).alias("found")) for name, regex in PATTERNS.items()])
+    in_texts = texts.select("page_id", "part", F.col("x.scope").alias("scope"), F.posexplode(by_pattern).alias("k", "y")).select("page_id", (F.col("part") * 3 + F.col("k") + 1).alias("at"), "scope", "y.pattern", "y.found")
+    others = base.select("page_id", F.posexplode(F.array(single("changelog-header", header), single("url", by_url), single("changelog-url", by_log))).alias("k", "x"))
+    others = others.select("page_id", F.element_at(F.array(F.lit(0), F.lit(13), F.lit(14)), F.col("k") + 1).alias("at"), "x.scope", "x.pattern", "x.found")
+    found = in_texts.unionByName(others).select("page_id", "at", "scope", "pattern", F.posexplode("found").alias("nth", "raw"))
     kept = found.where(~V.suspicious(F.col("raw")))
     return kept.select("page_id", (F.col("at") * 1_000_000 + F.col("nth")).cast("long").alias("ord"), V.normalized(F.col("raw")).alias("version"), "pattern", "scope")
 

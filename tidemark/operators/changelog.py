@@ -125,7 +125,8 @@ def changelogs(pages: DataFrame) -> DataFrame:
     under = F.regexp_replace(under, r"(?is)^<h([1-6])[^>]*>.*?</h\1>", "")
     rows = rows.join(plain, "page_id", "left")
     content = F.coalesce(own, container_text(F.col("html")), F.col("plain"), F.when(F.col("kind") != "js-render", F.coalesce(densest_block(article), first_dense_block(under), densest_block(T.section_text(F.col("html"))))))
-    out = rows.select("page_id", V.canonical(F.coalesce("target", "plain_version", F.lit("0.0.0"))).alias("version"), content.alias("content"), "kind")
+    # a generator keeps the filter from being computed from the page once more for each use
+    out = rows.select("page_id", V.canonical(F.coalesce("target", "plain_version", F.lit("0.0.0"))).alias("version"), F.explode(F.array(content)).alias("content"), "kind")
     out = out.where(F.col("content").isNotNull() & ~T.not_a_changelog(F.col("content")))
     confidence = F.when(T.good_changelog(F.col("content")), "high").otherwise("medium")
     return out.select("page_id", "version", "content", T.language(F.col("content")).alias("language"), "kind", confidence.alias("confidence"))

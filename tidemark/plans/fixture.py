@@ -56,5 +56,6 @@ SQL = "SELECT " + ", ".join(f"{x} AS {name}" for name, x in COLUMNS.items()) + "
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, product, url, version, stored, html."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*[f"{x} AS {name}" for name, x in COLUMNS.items()])
+    """page_id, product, url, version, stored, html, dealt by page: part is one small file, of which the pages are much more."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").selectExpr(*[f"{x} AS {name}" for name, x in COLUMNS.items()])

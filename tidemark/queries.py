@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .functions import html as H
 from .functions import text as T
 from .functions import versions as V
-from .operators import audit, candidates, changelog, datasets, evaluate, families, features, heuristics, models
-from .plans import fixture
+from .operators import arbitration, audit, candidates, changelog, datasets, evaluate, families, features, heuristics, models
+from .plans import extract, fixture
 from .sources import registries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -759,3 +759,53 @@ def filter_model(spark, sf_dir):
     rows = features.version_features(_cands(spark, sf_dir), F.when(F.col("anchored"), F.array(F.lit("heading"))).otherwise(F.array(F.lit("visible")))).withColumn("label", (F.col("points") % 5 == 0).cast("int"))
     model = models.filter_model(rows, features.FILTER_COLUMNS, rounds=5)
     return models.filtered(model, rows).select("page_id", "version", F.round("prob", 6).alias("prob"))
+
+
+@query()
+def extract_pages(spark, sf_dir):
+    """The main query: version, source, confidence and changelog of every page."""
+    return extract.extract(fixture.pages(spark, sf_dir))
+
+
+@query()
+def arbitration_prompts(spark, sf_dir):
+    """What a language model would be asked about close choices."""
+    pages = fixture.pages(spark, sf_dir)
+    found = candidates.contexts(pages)
+    seeds = found.groupBy("page_id").agg(F.min("version").alias("version"), (F.count("*") % 5 / 20).alias("margin"))
+    return arbitration.prompts(seeds, found, pages)
+
+
+@query(
+    r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>'), 1) AS i FROM @pages WHERE html IS NOT NULL),
+    t AS (SELECT page_id, i, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(a, '<[^>]+>', ' ', 'g')) AS text FROM a),
+    s AS (SELECT *, CASE WHEN regexp_matches(text || ' ' || href, '(?i)download|install|get it|free trial') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(text || ' ' || href, '(?i)windows|mac|linux|ios|android') THEN 1.0 ELSE 0 END + least(length(text) / 20, 1.0) AS score FROM t)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, i) AS rank, href, text, round(score, 6) AS score FROM s WHERE score >= 2 QUALIFY rank <= 3""".replace("\\b", "\b")
+)
+def button_links(spark, sf_dir):
+    return arbitration.button_links(fixture.pages(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def state_versions(spark, sf_dir):
+    rows = fixture.pages(spark, sf_dir).where("html like '{%'").select("page_id", F.col("html").alias("json"))
+    return arbitration.state_versions(rows)
+
+
+@query("SELECT DISTINCT left(sha1(url), 24) AS key, url FROM @pages WHERE url NOT LIKE '%github%'")
+def cache_misses(spark, sf_dir):
+    """Pages to fetch, as a cache of GitHub's has no fresh copy."""
+    pages = fixture.pages(spark, sf_dir).select("url").distinct()
+    cache = pages.where("url like '%github%'").select(F.left(F.sha1(F.col("url").cast("binary")), F.lit(24)).alias("key"), F.current_timestamp().alias("ts"))
+    return registries.cached(pages, cache, F.current_timestamp())[1].select("key", "url")
+
+
+@query(
+    """SELECT DISTINCT x.p_partkey % 40 AS request_id, lower(y.p_brand) AS token, 'v2.0' AS v FROM part x JOIN part y ON contains(regexp_replace(lower(y.p_brand), '[^a-z0-9]', '', 'g'), regexp_replace(lower(x.p_brand), '[^a-z0-9]', '', 'g')) OR contains(regexp_replace(lower(x.p_brand), '[^a-z0-9]', '', 'g'), regexp_replace(lower(y.p_brand), '[^a-z0-9]', '', 'g')) WHERE y.p_brand NOT LIKE '%5'"""
+)
+def registry_matches(spark, sf_dir):
+    """Registry entries by name and domain; those of other domains match none."""
+    part = _read(spark, sf_dir, "part")
+    requests = part.selectExpr("p_partkey % 40 AS request_id", "p_brand AS product", "'https://www.shop.example/x' AS url").distinct()
+    entries = part.selectExpr("lower(p_brand) AS token", "CASE WHEN p_brand LIKE '%5' THEN 'https://other.example' ELSE 'https://shop.example' END AS homepage", "'2.0' AS version").distinct()
+    return registries.matched_entries(requests, entries).select("request_id", "token", F.col("version").alias("v")).distinct()
