@@ -67,7 +67,7 @@ class Encoder:
     """Encodes string columns with the tokenizer in a file."""
 
     #: Distinct pieces held at most; more, and the store begins anew.
-    HELD = 600_000
+    HELD = 400_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -42,10 +42,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(f: Callable) -> Callable:
+    """f, after which a worker gives the memory it has freed back to the system: workers are kept for later tasks."""
+
+    def run(it):
+        try:
+            yield from f(it)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """mapInArrow with batches small enough for long texts."""
     df.sparkSession.conf.set(ROWS_CONF, str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(lean(f), schema)
 
 
 def bounded(df: DataFrame, bytes_per_row: int, more: Column | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import batches, bounded, components, table
+from ._cluster import batches, bounded, components, lean, table
 from ._text import U, bytes_of, mix, per_text, runs, split_words, splitmix, windows, word_runs
 
 TABLES, WIDTH = 8, 3
@@ -192,9 +192,9 @@ def _tables(heads: DataFrame) -> DataFrame:
     spark = heads.sparkSession
     schema = "key long, a long, b long, na int, nb int"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = heads.mapInArrow(near, schema)
+    first = heads.mapInArrow(lean(near), schema)
     dealt = first.repartition(parts, F.coalesce("b", "key")).sortWithinPartitions("key", F.xxhash64("key", "a"), "a")
-    return table(dealt.mapInArrow(far, schema), rows=4000)
+    return table(dealt.mapInArrow(lean(far), schema), rows=4000)
 
 
 def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -270,4 +270,4 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if held:
             yield pairs(held)
 
-    return dealt.mapInArrow(cross, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(cross), "a long, b long").distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import batches, bounded, table
+from ._cluster import batches, bounded, lean, table
 from ._text import U, Words, _power_tables, bytes_of, mix, runs, split_words, word_runs
 
 MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 24
@@ -111,7 +111,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     spans = batches(rows, near, schema)
     # spans already known as repeated need no key and go anywhere
     dealt = spans.repartition(parts, F.when(F.col("again"), F.xxhash64("doc_id", "a")).otherwise(F.col("hash"))).sortWithinPartitions("hash", "doc_id", "a")
-    found = dealt.mapInArrow(far, "doc_id long, a int, b int")
+    found = dealt.mapInArrow(lean(far), "doc_id long, a int, b int")
     whole = F.array_sort(F.collect_list(F.struct("a", "b")))
     return found.distinct().groupBy("doc_id").agg(whole.alias("spans")).select("doc_id", F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), _joined).alias("spans"))
 

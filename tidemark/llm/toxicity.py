@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import batches, crc32_of
+from ._cluster import batches, crc32_of, lean
 from ._text import ALNUM, U, Words, mix, word_runs
 
 BITS = 20
@@ -83,7 +83,7 @@ def model(docs: DataFrame, labels: DataFrame, rows: int = LEARNED_ROWS) -> list[
             yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([b, *w.tolist()], pa.float64())], names=["at", "w"])
 
     one = batches(sample, places, "doc_id long, label int, x binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "x")
-    return [tuple(r) for r in one.mapInArrow(fit, "at long, w double").collect()]
+    return [tuple(r) for r in one.mapInArrow(lean(fit), "at long, w double").collect()]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

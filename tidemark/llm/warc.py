@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cluster import ROWS_CONF, shared_dir, table
+from ._cluster import ROWS_CONF, lean, shared_dir, table
 
 #: Records of one archive at most.
 RECORDS = 1000
@@ -130,7 +130,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
                     yield _captures(found[i : i + 5000])
 
     spark.conf.set(ROWS_CONF, "1")  # an archive at a time
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _CAPTURE)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lean(run), _CAPTURE)
 
 
 def _order(x: tuple) -> tuple:
@@ -207,7 +207,7 @@ def index(captures: DataFrame) -> DataFrame:
 
     parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     captures.sparkSession.conf.set(ROWS_CONF, "10000")
-    return captures.repartitionByRange(parts, "url_key", "date", "page_id", "archive", "offset").mapInArrow(run, _CAPTURE)
+    return captures.repartitionByRange(parts, "url_key", "date", "page_id", "archive", "offset").mapInArrow(lean(run), _CAPTURE)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
