@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._cluster import batches, lean, table
 from ._text import U, mix, splitmix, word_runs
 
-CHUNK = 6 << 20
+CHUNK = 8 << 20
 K, EXTRA = 5, 0.01
 END, START = splitmix(77, 2)
 _DOC_BITS = 24
