@@ -777,7 +777,7 @@ def arbitration_prompts(spark, sf_dir):
 
 
 @query(
-    r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>'), 1) AS i FROM @pages WHERE html IS NOT NULL),
+    r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a [^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a [^>]*>.*?</a>'), 1) AS i FROM @pages WHERE html IS NOT NULL),
     t AS (SELECT page_id, i, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(a, '<[^>]+>', ' ', 'g')) AS text FROM a),
     s AS (SELECT *, CASE WHEN regexp_matches(text || ' ' || href, '(?i)download|install|get it|free trial') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(text || ' ' || href, '(?i)windows|mac|linux|ios|android') THEN 1.0 ELSE 0 END + least(length(text) / 20, 1.0) AS score FROM t)
     SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, i) AS rank, href, text, round(score, 6) AS score FROM s WHERE score >= 2 QUALIFY rank <= 3""".replace("\\b", "\b")
