@@ -81,6 +81,19 @@ def test_divergence(spark):
     assert not found[100] and distance[100] > 0.3 > max(distance[k] for k in range(40))
 
 
+def test_divergence_of_words(spark):
+    """Junk of ordinary letters, punctuation and lengths that only the common words tell."""
+    from tidemark.llm.quality import COMMON_WORDS, MAX_CLASS_DISTANCE, judged
+
+    rng, rows = random.Random(12), []
+    for k, (lang, common) in enumerate(COMMON_WORDS.items()):
+        word = lambda common=common: rng.choice(common) if rng.random() < 0.2 else "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8)))
+        rows += [(1000 * k + i, " ".join(word() for _ in range(rng.choice([100, 150, 400]))), lang) for i in range(60)]
+        rows += [(1000 * k + 900 + i, " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(4, 8))) for _ in range(n)), lang) for i, n in enumerate([99, 100, 300])]
+    found = {r.doc_id: r for r in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(r.kept == (i % 1000 in range(901)) for i, r in found.items()) and not any(r.base_failed or r.class_distance > MAX_CLASS_DISTANCE for r in found.values())
+
+
 def _components(texts, percent):
     sets = {i: _shingles(t) for i, t in texts.items()}
     parent = {i: i for i in texts}

@@ -2,12 +2,16 @@
 
 A text's histograms of character classes and of its language's commonest words are
 compared with the language's own, counted over all documents, by Jensen-Shannon
-distance (base 2: from 0 to 1). Short texts, whose histograms say little, are let
-through by a guard.
+distance (base 2: from 0 to 1). Words outside the common ones share a bin, so a text
+without common words isn't far from its language; how far such a text is scales the
+limit of texts that have fewer common words than their language. Short texts, whose
+histograms say little, are let through by a guard.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ COMMON_WORDS = {
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": "\\x20\\x09-\\x0D", "stop": ".,;:!?'\"()\\-", "symbol": "#*$%&|<>=+/\\\\^~@_`{}\\[\\]"}
 MIN_CHARS, MIN_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.45
+#: Of the distance of a text without common words; holds where a text should have so many.
+MAX_ABSENCE, MIN_EXPECTED = 0.8, 10
 SPACE = " \t\n\x0b\f\r"
 #: Places of words fit into so many bits beside a window's hash.
 PLACE_BITS = 20
@@ -95,6 +101,12 @@ def _distance(counts: Column, reference: Column) -> Column:
     return F.when((total > 0) & (all_of > 0), F.sqrt(F.greatest(parts / 2, F.lit(0.0)))).otherwise(0.0)
 
 
+def _absent(reference: list[float]) -> float:
+    """Distance from the reference of a text without common words, as _distance has it."""
+    rest = reference[-1] / (sum(reference) or 1)
+    return math.sqrt(max(0.0, (math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest else 0.0) + 1 - rest) / 2))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     class_distance, word_distance.
@@ -117,10 +129,17 @@ def judged(docs: DataFrame) -> DataFrame:
     near = [_distance(F.col("all_classes"), x) for x in classes]
     nearest = F.least(*near) if len(near) > 1 else near[0] if near else F.lit(0.0)
     own_classes, own_words = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
+    share, absent = F.lit(None).cast("double"), F.lit(None).cast("double")
     for r, x, y in zip(found, classes, words, strict=True):
+        sums_of = [float(r[f"all_hits{i}"] or 0) for i in range(kinds["all_hits"])]
+        common = sum(sums_of[:-1]) / (sum(sums_of) or 1)
+        share, absent = F.when(F.col("lang") == r["lang"], F.lit(common)).otherwise(share), F.when(F.col("lang") == r["lang"], F.lit(_absent(sums_of))).otherwise(absent)
         own_classes, own_words = F.when(F.col("lang") == r["lang"], x).otherwise(own_classes), F.when(F.col("lang") == r["lang"], y).otherwise(own_words)
     rows = rows.withColumns({"own_classes": own_classes, "own_words": own_words})
     rows = rows.withColumn("class_distance", F.when(F.col("own_classes").isNotNull(), _distance(F.col("all_classes"), F.col("own_classes"))).otherwise(nearest))
     rows = rows.withColumn("word_distance", F.when(F.col("own_words").isNotNull(), _distance(F.col("all_hits"), F.col("own_words"))).otherwise(0.0))
-    bad = ((F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+    expected, rest = F.col("n_words") * share, F.element_at("all_hits", -1)
+    fewer = (expected >= MIN_EXPECTED) & (F.col("n_words") - rest < expected) & (F.col("word_distance") > absent * MAX_ABSENCE)
+    far = (F.col("word_distance") > MAX_WORD_DISTANCE) | F.coalesce(fewer, F.lit(False))
+    bad = ((F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & far)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), "class_distance", "word_distance")
