@@ -15,9 +15,6 @@ from tidemark.llm.packing import packed
 from tidemark.llm.pii import redacted
 from tidemark.llm.toxicity import accepted
 
-#: Similarity of 5-word shingles from which documents are near-duplicates.
-SIMILARITY = 0.85
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the toxicity model rejects."""
@@ -25,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return deduplicated(docs, SIMILARITY)
+    """One document of each group of near-duplicates, at the operator's own similarity."""
+    return deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -412,3 +412,17 @@ def test_pipeline(spark, docs, tmp_path):
     empty = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, at).count() == 0
+
+
+def test_pipeline_similarity(spark):
+    """Near copies of similarity 0.80 to 0.85 leave the pipeline, those below stay."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(204)]  # 200 shingles
+    copy = lambda name, n: " ".join([*words[: 204 - n], *(f"{name}{k}" for k in range(n))])
+    texts = {1: " ".join(words), 2: copy("a", 20), 3: copy("b", 24)}
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    near, far = (len(sets[1] & sets[k]) / len(sets[1] | sets[k]) for k in (2, 3))
+    assert 0.8 <= near < 0.85 and far < 0.8 and len(sets[2] & sets[3]) < 0.8 * len(sets[2] | sets[3])
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, "").collect()} == {1, 3}
