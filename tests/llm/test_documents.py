@@ -338,6 +338,27 @@ def test_sentences(spark, docs, nothing):
     assert found[0].text == texts[0] and found[1].text == texts[1]  # also where the row repeats
 
 
+@pytest.mark.parametrize("parts", [(50,), (60,), (80,), (25, 25), (26, 26), (40, 40), (9, 9, 9, 9, 9, 9), (12, 26, 12)])
+def test_sentences_inside(spark, parts):
+    """A passage of 50 words or more put inside other sentences is found, whatever words are around."""
+    from tidemark.llm.sentences import deduplicated
+
+    rng, rows, left = random.Random(sum(parts) + len(parts)), [], {}
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    for i in range(60):
+        own = [" ".join(word() for _ in range(n)) for n in parts]
+        inside = ". ".join(own)
+        for k in (0, 1):
+            text = f"{' '.join(word() for _ in range(rng.randint(1, 40)))} {inside} {' '.join(word() for _ in range(rng.randint(1, 40)))}."
+            rows.append((2 * i + k, text))
+            left[2 * i + k] = text, inside
+    found = {r.doc.doc_id: r for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i].text == left[i][0] for i in range(0, 120, 2))
+    lost = [(len(left[i][0].split()) - len(found[i].text.split())) / sum(parts) for i in range(1, 120, 2)]
+    assert all(found[i].n_removed > 0 for i in range(1, 120, 2))
+    assert sum(lost) / len(lost) > 0.6 and max(lost) <= 1
+
+
 def test_toxicity(spark, docs, nothing):
     from tidemark.llm.toxicity import accepted, scored
 

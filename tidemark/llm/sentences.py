@@ -1,7 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
-A sentence ends at a line's end, at a word that ends with . ! or ?, or, when it has
-become long, at words chosen by their hash. From each sentence a span runs over as many
+A sentence ends at a line's end or at a word that ends with . ! or ?. One of over LONG
+words is cut where, in any WINDOW words of it, the least hash is, so at least once in
+WINDOW words and by these words alone, wherever the sentence begins. Any run of 50 words
+that two texts share, begun and ended anywhere, so has a whole span in common. From each sentence a span runs over as many
 as make two sentences and MIN_WORDS words at least. Equal spans are found over all
 texts by their hashes; sentences that a span covers are removed, but for the span's
 first occurrence, by doc_id and place.
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from ._cluster import batches, bounded, lean, table
 from ._text import U, Words, _power_tables, bytes_of, mix, runs, split_words, word_runs
 
-MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 24
+MIN_SENTENCES, MIN_WORDS, LONG, WINDOW = 2, 20, 10, 8
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[0x2E, 0x21, 0x3F]] = True
 
@@ -37,9 +39,15 @@ def sentence_starts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     begins = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
     sizes = np.diff(np.concatenate([begins, [n]]))
     if (sizes > LONG).any():
-        place = np.arange(n) - np.repeat(begins, sizes)
-        cut = np.flatnonzero((place >= LONG) & (words.hash & U(7) == 0))
-        begins = np.union1d(begins, cut)
+        # windows inside a long sentence, each with the last place of its least hash
+        inside = np.flatnonzero(np.repeat(sizes, sizes)[: n - WINDOW + 1] > LONG)
+        inside = inside[inside + WINDOW <= np.repeat(begins + sizes, sizes)[inside]]
+        least, at = words.hash[inside], inside
+        for k in range(1, WINDOW):
+            h = words.hash[inside + k]
+            at = np.where(h <= least, inside + k, at)
+            least = np.minimum(h, least)
+        begins = np.union1d(begins, at)
     return begins, np.searchsorted(begins, words.first)
 
 
