@@ -297,6 +297,38 @@ def test_pii_contexts(spark, docs, nothing):
     assert out[len(texts) - 1].text == "mail [EMAIL] at [IP], card [CARD] or [PHONE]." and out[0].text == texts[0] and out[texts.index(None)].text is None and out[0].doc == "clash"
 
 
+def test_pii_cues(spark):
+    """One-sided cues, many more candidates than seeds, found values as seeds; words that stand around anything are no cue."""
+    from tidemark.llm.pii import spans
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    around = lambda: f"{word()} {word()}"
+    texts, want = [], {}
+    for i in range(6):
+        texts.append(f"{around()} call me at +1 (743) 555-{3000 + i} {around()}")
+    for i in range(60):
+        want[len(texts)] = f"0743-5{100 + i}"
+        texts.append(f"{around()} call me at 0743-5{100 + i} {around()}")
+    for i in range(60):
+        want[len(texts)] = f"0991-7{100 + i}"
+        # some are known by the cue, the others by the words that follow those
+        cue = "call me at" if i < 6 else around()
+        texts.append(f"{around()} {cue} 0991-7{100 + i} after six {around()}")
+    for i in range(300):
+        texts.append(f"{around()} all of the {[f'+1 (743) 555-{4000 + i}', f'2023-{2000 + i}'][i % 2] if i < 20 else word()} {around()}")
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = {r.doc.doc_id: [texts[r.doc.doc_id][x.start : x.end] for x in r.spans if x.kind == "id"] for r in spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: [want[i]] if i in want else [] for i in range(len(texts))}
+
+
+def test_pii_others():
+    from tidemark.llm.pii import others
+
+    text = "You may call me at 0743-5550, or call me at noon or at 1.2.3.4 (me at) home."
+    assert sorted(others(text, frozenset({"L me at", "R or at", "B or 1.2.3.4", "B at or"}))) == ["B at or", "B or 1.2.3.4", "L me at", "L me at", "R or at"]
+
+
 def test_decontamination(spark, docs, nothing):
     from tidemark.llm.decontam import clean, judged
 

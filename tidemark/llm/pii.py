@@ -3,14 +3,17 @@
 Matches of the fixed patterns (base spans) are seeds. Whatever else in a text has the
 shape of an identifier is a candidate. The words around a seed or candidate make
 lexical patterns: two to the left, two to the right, one on either side. In the graph
-of patterns and values, a pattern's confidence is the mean score of its values, if it
-has enough seeds; a value's score is the mean confidence of its patterns; seeds stay at
-1. After some rounds, candidates of high score are personal data too, of kind ``id``.
+of patterns and values, a pattern with enough known values (at first the seeds) gives
+its values its confidence: of all places in the texts where its words stand, the share
+that holds seeds or candidates, not other words. A value's score is that of its best
+pattern. Candidates of high score are known from then on, until no more are found; they
+are personal data too, of kind ``id``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +24,10 @@ from ._cluster import batches, bounded, table
 
 #: Base kinds, in the order of results; then the kind of discovered identifiers.
 KINDS = ("email", "ip", "card", "phone", "id")
-#: A pattern needs so many different seeds; a candidate this score, after so many rounds.
-MIN_SEEDS, MIN_SCORE, ROUNDS = 5, 0.6, 3
+#: A pattern needs so many different known values; a candidate this score.
+MIN_SEEDS, MIN_SCORE = 5, 0.6
+#: Patterns that are looked for in one pass over the texts.
+PASS = 200_000
 #: Characters to either side that are looked at for context words.
 CONTEXT = 80
 
@@ -138,19 +143,68 @@ def _found(docs: DataFrame, keep: bool) -> DataFrame:
     return table(batches(rows, run, schema).withColumn("uid", F.monotonically_increasing_id()))
 
 
-def scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, score) of the values that aren't seeds, from distinct (pattern, value, seed) edges."""
-    seeds = edges.where("seed").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS).select("pattern")
-    edges = edges.join(seeds.withColumn("strong", F.lit(True)), "pattern", "left")
-    edges = table(edges.withColumn("strong", F.coalesce("strong", F.lit(False))))
-    open_ = edges.where("not seed").select("value").distinct()
-    now = table(open_.withColumn("score", F.lit(0.0)))
-    for _ in range(rounds):
-        strong = edges.where("strong").join(now, "value", "left")
-        confidence = strong.groupBy("pattern").agg(F.avg(F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))).alias("confidence"))
-        own = edges.where("not seed").join(confidence, "pattern", "left")
-        now = table(own.groupBy("value").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("score")))
-    return now
+def others(text: str, patterns: frozenset[str]) -> Iterator[str]:
+    """Those of the patterns around each word of the text that isn't in a seed or candidate."""
+    base = base_spans(text)
+    held = [(a, b) for _, a, b in base]
+    if _DIGIT.search(text):
+        held += _candidates(text, base)
+    words, free, done = [], [], 0
+    for a, b in sorted(held):
+        before, own = text[done : max(a, done)].split(), text[max(a, done) : b].split()
+        words += before + own
+        free += [True] * len(before) + [False] * len(own)
+        done = max(done, b)
+    rest = text[done:].split()
+    words, free = [_word(x) for x in words + rest], free + [True] * len(rest)
+    n = len(words)
+    pairs = [f"{x} {y}" for x, y in zip(words, words[1:], strict=False)]
+    for k, x in enumerate(pairs):
+        if k + 2 < n and free[k + 2] and (one := f"L {x}") in patterns:
+            yield one
+        if k and free[k - 1] and (one := f"R {x}") in patterns:
+            yield one
+    for k, (x, y) in enumerate(zip(words, words[2:], strict=False)):
+        if free[k + 1] and (one := f"B {x} {y}") in patterns:
+            yield one
+
+
+def _others(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, n): how often other words stand in the patterns (a table); PASS patterns at a time."""
+    parts = -(-patterns.count() // PASS)
+    counted = docs.sparkSession.createDataFrame([], "pattern string, n long")
+    for part in range(parts):
+        some = frozenset(r[0] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect())
+
+        def run(it: Iterator[pa.RecordBatch], some: frozenset[str] = some) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                seen: Counter[str] = Counter()
+                for text in batch.column(0):
+                    seen.update(others(text.as_py() or "", some))
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+
+        counted = counted.unionByName(table(batches(docs.select("text"), run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))))
+    return counted
+
+
+def scores(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(value, score) of the values that aren't seeds, from edges (a table) of distinct
+    (pattern, value, seed, n), n their places; docs has the texts. Values without score
+    have none of a pattern with enough known values."""
+    kinds = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.count_if(~F.col("seed")).alias("open"), F.sum("n").alias("held"))
+    kinds = table(kinds.where((F.col("values") >= MIN_SEEDS) & (F.col("open") > 0)).select("pattern", "held"))
+    elsewhere = _others(docs, kinds.select("pattern"))
+    sure = table(kinds.join(elsewhere, "pattern", "left").select("pattern", (F.col("held") / (F.col("held") + F.coalesce("n", F.lit(0)))).alias("confidence")))
+    edges = table(edges.join(bounded(sure, 64), "pattern").select("pattern", "value", "seed", "confidence"))
+    known, n_known = edges.where("seed").select("value").distinct(), -1
+    while True:
+        strong = edges.join(known.withColumn("known", F.lit(True)), "value", "left").groupBy("pattern").agg(F.count("known").alias("n")).where(F.col("n") >= MIN_SEEDS).select("pattern")
+        now = table(edges.where("not seed").join(strong, "pattern").groupBy("value").agg(F.max("confidence").alias("score")))
+        found = now.where(F.col("score") >= MIN_SCORE).select("value")
+        n = found.count()
+        if n == n_known or not n:
+            return now
+        known, n_known = edges.where("seed").select("value").unionByName(found).distinct(), n
 
 
 def spans(docs: DataFrame, keep: bool = False) -> DataFrame:
@@ -162,8 +216,8 @@ def spans(docs: DataFrame, keep: bool = False) -> DataFrame:
     """
     found = _found(docs, keep)
     seen = found.select("uid", F.explode("seen").alias("x")).select("uid", F.xxhash64("x.value").alias("value"), "x.seed", "x.start", "x.end", "x.patterns")
-    edges = seen.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    good = table(scores(table(edges)).where(F.col("score") >= MIN_SCORE).select("value"))
+    edges = seen.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    good = table(scores(table(edges), docs).where(F.col("score") >= MIN_SCORE).select("value"))
     more = seen.where("not seed").join(bounded(good, 16), "value", "left_semi")
     more = table(more.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more")))
     out = found.drop("seen").join(bounded(more, 64, F.size("more") * 48), "uid", "left")
