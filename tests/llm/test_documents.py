@@ -391,6 +391,61 @@ def test_sentences_inside(spark, parts):
     assert sum(lost) / len(lost) > 0.6 and max(lost) <= 1
 
 
+def test_sentences_brute_force(spark):
+    """Every span by its words, over repeated ids, rows and texts."""
+    import pyarrow as pa
+
+    from tidemark.llm import sentences as S
+    from tidemark.llm._text import bytes_of, split_words
+
+    rng = random.Random(21)
+    parts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) + rng.choice([".", "!", "\n", ""]) for _ in range(25)]
+    rows = [(rng.randrange(40), " ".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for _ in range(60)]
+    whole = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"u{k}" for k in range(60))
+    rows += [(5, "Yes. No. Well then."), (900, "Yes. No. Well then."), (901, "Yes. No."), (902, "Yes. No."), rows[0], rows[1], (105, whole), (109, whole), (109, other), (None, whole), (950, None), (951, ""), (952, whole + " " + other * 200)]
+    spans = collections.defaultdict(list)
+    pieces = {}
+    for doc, text in set(rows):
+        if doc is None or not text:
+            continue
+        words = split_words(*bytes_of(pa.array([text])), lower=False)
+        begins, heads, _ = S.sentence_starts(words)
+        own = [words.word(i) for i in range(len(words.start))]
+        starts = [*begins.tolist(), len(own)]
+        pieces[doc, text] = starts
+        m = len(begins)
+        found = set()
+        for a in range(m):
+            ends = [b for b in range(a + 1, m) if starts[b + 1] - starts[a] >= S.MIN_WORDS]
+            later = [k for k in range(a + 1, m + 1) if k == m or heads[k]]
+            if heads[a] and len(later) >= S.SENTENCES and later[S.SENTENCES - 1] - 1 > a:
+                ends.append(later[S.SENTENCES - 1] - 1)
+            if ends:
+                found.add((a, min(ends)))
+        back = [a for a in range(m - 1) if starts[m] - starts[a] >= S.MIN_WORDS]
+        if back:
+            found.add((max(back), m - 1))
+        for a, b in found:
+            spans[tuple(own[starts[a] : starts[b + 1]])].append((doc, text, a, b))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashed = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    gone = collections.defaultdict(set)
+    for places in spans.values():
+        first = min(places, key=lambda x: (x[0], hashed[x[0], x[1]], x[2], x[3]))
+        for x in places:
+            if x != first:
+                gone[x[0], x[1]] |= set(range(x[2], x[3] + 1))
+    found = S.deduplicated(df).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        key = (r.doc.doc_id, r.doc.text)
+        kept = [w for k, a in enumerate(pieces[key][:-1]) if k not in gone[key] for w in key[1].split()[a : pieces[key][k + 1]]] if key in pieces else (key[1] or "").split()
+        assert (r.text or "").split() == kept and r.n_removed == len(gone[key]) and (r.text is None) == (key[1] is None)
+    of = {(r.doc.doc_id, r.doc.text): r.text for r in found}
+    assert of[109, other] == other and of[109, whole] == "" and of[900, "Yes. No. Well then."] == "" and of[902, "Yes. No."] == "Yes. No."
+
+
 def test_toxicity(spark, docs, nothing):
     from tidemark.llm.toxicity import accepted, scored
 

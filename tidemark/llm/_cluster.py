@@ -11,30 +11,31 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is counted and has at most this many bytes.
 BROADCAST_BYTES = 32 << 20
-#: Rows of a batch of texts that goes to Python.
-BATCH_ROWS = 1000
-ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files go when the job that wrote a table is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; on a local master only, one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark, "_tidemark_dir", None) or tempfile.mkdtemp(prefix="tidemark-")
         spark._tidemark_dir = at
     return at.rstrip("/")
 
 
-def table(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there.
-
-    rows: of a batch that goes to Python.
-    """
+def table(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends there, and its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    spark.conf.set(ROWS_CONF, str(rows))
-    df.write.parquet(path)
-    spark.conf.set(ROWS_CONF, str(BATCH_ROWS))
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,8 +64,7 @@ def lean(f: Callable) -> Callable:
 
 
 def batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
-    df.sparkSession.conf.set(ROWS_CONF, str(BATCH_ROWS))
+    """mapInArrow; Spark bounds the bytes of a batch, workers give memory back."""
     return df.mapInArrow(lean(f), schema)
 
 

@@ -282,7 +282,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     bits = max(2, (parts - 1).bit_length() + 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     dealt = _asked(rows, bits).repartition(parts, "to").sortWithinPartitions("kind", "slice", "to", "chunk")
-    answered = table(dealt.mapInArrow(lean(_answers), _ROW), rows=20)
+    answered = table(dealt.mapInArrow(lean(_answers), _ROW))
     stats = answered.where("stats is not null").select("kind", F.posexplode("stats").alias("at", "n")).groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
     known = {(r["kind"], r["at"]): r["n"] for r in stats}
     words_of, pairs_of = ([known.get((kind, i), 0) for i in range(K + 3)] for kind in ("MW", "MB"))
@@ -293,7 +293,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
             yield from _chunk_scores(group, words_of, pairs_of, bits)
 
     by_chunk = answered.where(F.col("kind").isin("D", "RW", "RB")).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "slice")
-    scored = table(by_chunk.mapInArrow(lean(score), _SCORED), rows=20)
+    scored = table(by_chunk.mapInArrow(lean(score), _SCORED))
     total, d1, d2 = words_of[K + 1], discounts(words_of[: K + 1]), discounts(pairs_of[: K + 1])
 
     def weights(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
 
     _let_go(spark)
     sums = scored.where("kind = 'H'").select("slice", "a", "b", "uid").repartition(parts, "uid").sortWithinPartitions("slice").select("slice", "a", "b")
-    alpha = table(sums.mapInArrow(lean(weights), "h long, alpha double"), rows=20)
+    alpha = table(sums.mapInArrow(lean(weights), "h long, alpha double"))
     more = scored.where("kind = 'U'").select("uid", "h", "n").join(alpha, "h").groupBy("uid").agg(F.sum(F.col("n") * F.col("alpha")).alias("more"))
     out = scored.where("kind = 'P'").select("uid", "doc_id", "train", "n_tokens", "n_known", "base_score", "score").join(more, "uid", "left")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))

@@ -194,7 +194,7 @@ def _tables(heads: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = heads.mapInArrow(lean(near), schema)
     dealt = first.repartition(parts, F.coalesce("b", "key")).sortWithinPartitions("key", F.xxhash64("key", "a"), "a")
-    return table(dealt.mapInArrow(lean(far), schema), rows=4000)
+    return table(dealt.mapInArrow(lean(far), schema))
 
 
 def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:

@@ -213,4 +213,4 @@ def index(captures: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """The index of archives that pages are written to."""
     spark = pages.sparkSession
-    return index(table(runs(spark, write(pages)), rows=1))
+    return index(table(runs(spark, write(pages))))
