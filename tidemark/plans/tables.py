@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame) -> DataFrame:
     """df written once and read back: a short plan from here on, and no recomputation.
 
-    The folder is that of spark.checkpoint.dir; one of our own where it is unset.
+    The folder is that of spark.checkpoint.dir; on a local master only, one of our own where it is unset.
     """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tidemark_tables", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = spark._tidemark_tables = tempfile.mkdtemp(prefix="tidemark-")
     path = f"{at.rstrip('/')}/plans/{uuid.uuid4().hex}"
     df.write.parquet(path)
