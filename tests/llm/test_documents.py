@@ -209,6 +209,28 @@ def test_plan():
         assert sum(n for _, n in best_fit(counts, capacity)) >= sum(n for _, n in found)
 
 
+def test_fillings():
+    """Exactly the fillings that no other dominates, whatever may be inside them."""
+    from tidemark.llm.packing import fillings
+
+    rng = random.Random(31)
+
+    def holds(bins, parts):
+        """Whether parts can be put into bins of such sizes."""
+        if not parts:
+            return True
+        return any(bins[k] >= parts[0] and holds([*bins[:k], bins[k] - parts[0], *bins[k + 1 :]], parts[1:]) for k in range(len(bins)))
+
+    for _ in range(150):
+        left = collections.Counter(rng.randint(1, 14) for _ in range(rng.randint(0, 8)))
+        room = rng.randint(0, 20)
+        sizes = [s for s, n in left.items() for _ in range(n)]
+        ways = {tuple(sorted(x, reverse=True)) for k in range(len(sizes) + 1) for x in itertools.combinations(sizes, k) if sum(x) <= room}
+        best = {x for x in ways if not any(y != x and holds(list(y), list(x)) for y in ways)}
+        found = list(fillings(dict(left), room))
+        assert set(found) == best and len(found) == len(best) and [sum(x) for x in found] == sorted((sum(x) for x in found), reverse=True)
+
+
 def test_encoder():
     import public_tokenizers
     import pyarrow as pa

@@ -2,10 +2,10 @@
 
 Sizes are whole numbers up to the capacity, so all pieces of one size are alike and the
 plan is made on their counts, whatever the number of documents: bins are filled around
-the largest size left, by fillings that no other dominates, many equal bins at a time;
-branches that must waste more than the best solution so far are cut, and best-fit
-packing gives the first such solution. The plan, a list of bin patterns with
-multiplicities, is then dealt out to pieces by their ranks among their size.
+the largest size left, by fillings that no other dominates, in order of rising waste,
+many equal bins at a time; branches that must waste more than the best solution so far
+are cut, and best-fit packing gives the first such solution. The plan, a list of bin
+patterns with multiplicities, is then dealt out to pieces by their ranks among their size.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from ._bytes_bpe import Encoder
 from ._cluster import batches, bounded, table
 
 CAPACITY, END_ID = 1024, 2
-#: Fillings looked at for one bin, and bins filled in all branches of the search: bounds of the
-#: plan's quality, not of what is packed.
-FILLINGS, NODES = 40, 8_000
+#: Bins filled in all branches of the search; a search that ends before is complete. It bounds
+#: the time of the plan and its quality, not what is packed.
+NODES = 4_000
 
 
 def default_tokenizer() -> str:
@@ -123,105 +123,122 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(sizes: list[int], left: dict[int, int], room: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated ways to fill room with sizes (falling) of which left has some, by rising waste.
+def _spread(bits: int, n: int) -> int:
+    """bits, each also set at the n places above it."""
+    done = 0
+    while done < n:
+        step = min(done + 1, n - done)
+        bits |= bits << step
+        done += step
+    return bits
 
-    A filling is dominated if some of its members could be changed for one larger size
-    that is left and still fits.
+
+def _dominated(own: tuple[int, ...], slack: int, spare: int) -> bool:
+    """Whether some of own, or none, could be changed for one larger size of spare (a bit for each) that still fits.
+
+    Several for one of their sum also counts. Each dominating filling is reached by such
+    steps, so that none that passes is dominated by any.
     """
-    found: list[tuple[int, ...]] = []
-    smallest = sizes[-1] if sizes else room + 1
-    steps = 0
-
-    def dominated(own: tuple[int, ...], slack: int) -> bool:
-        used = Counter(own)
-        sums = {x for i, a in enumerate(own) for x in (a, *(a + b for b in own[i + 1 :]))} | ({sum(own)} if len(own) > 2 else set())
-        for t in sums:
-            for z in range(t, t + slack + 1):
-                if left.get(z, 0) > used.get(z, 0) and (z > t or z not in used):
-                    return True
-        return False
-
-    def walk(at: int, own: tuple[int, ...], rest: int) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 20 * limit or len(found) >= limit:
-            return
-        extended = False
-        if rest >= smallest:
-            for i in range(at, len(sizes)):
-                s = sizes[i]
-                if s <= rest and left[s] > own.count(s):
-                    extended = True
-                    walk(i, (*own, s), rest - s)
-                    if len(found) >= limit or steps > 20 * limit:
-                        return
-        if not extended and not dominated(own, rest):
-            found.append(own)
-
-    walk(0, (), room)
-    if not found:  # every one looked at is dominated by one beyond the limit: take the greedy one
-        own, rest = (), room
-        for s in sizes:
-            while s <= rest and left[s] > own.count(s):
-                own, rest = (*own, s), rest - s
-        found.append(own)
-    return sorted(found, key=lambda x: (room - sum(x), len(x)))
+    one, more = 0, 0  # sums of one member, of several
+    for s in own:
+        more |= (one | more) << s
+        one |= 1 << s
+    larger = _spread(more, slack) | (_spread(one | 1, slack - 1) << 1 if slack else 0)
+    return bool(larger & spare)
+
+
+def fillings(left: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill room with sizes of which left has some, by rising waste; larger members first."""
+    sizes = sorted(s for s, n in left.items() if n and s <= room)
+    mask = (1 << room + 1) - 1
+    reach = [1]  # sums of the smallest k sizes
+    for s in sizes:
+        bits, n, k = reach[-1], min(left[s], room // s), 1
+        while n > 0:
+            k = min(k, n)
+            bits |= bits << s * k & mask
+            n -= k
+            k *= 2
+        reach.append(bits)
+    available = sum(1 << s for s in sizes)
+
+    def ways(at: int, total: int, own: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Those of the smallest at sizes; only what leads somewhere is tried."""
+        if not total:
+            yield own
+        for j in range(at if total else 0, 0, -1):
+            s = sizes[j - 1]
+            for k in range(min(left[s], total // s), 0, -1):
+                if reach[j - 1] >> total - k * s & 1:
+                    yield from ways(j - 1, total - k * s, own + (s,) * k)
+            if not reach[j - 1] >> total & 1:
+                return
+
+    for waste in range(room + 1):
+        if reach[-1] >> room - waste & 1:
+            for own in ways(len(sizes), room - waste, ()):
+                spare = available
+                for s in set(own):
+                    if own.count(s) == left[s]:
+                        spare &= ~(1 << s)
+                if not _dominated(own, waste, spare):
+                    yield own
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """(sizes, bins) patterns that use exactly counts, in as few bins as were found."""
+    """(sizes, bins) patterns that use exactly counts, in as few bins as were found.
+
+    Best-fit packing is the first solution. A node of the search is a filling of the bin of
+    the largest size left, in as many equal bins as there can be, or fewer on backtracking.
+    The search ends where a solution meets the lower bound, where all branches are cut, or
+    after so many nodes; only then may the plan be other than the best there is.
+    """
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, capacity)
     best_bins, least = sum(n for _, n in best), lower_bound(counts, capacity)
-    if best_bins == least:
-        return best
     total = sum(s * n for s, n in counts.items())
     left, path, waste, spent = dict(counts), [], 0, 0
-    stack: list[tuple[int, Iterator]] = []
 
-    def choices() -> Iterator[tuple[int, ...]]:
-        first = max(left)
-        left[first] -= 1
-        sizes = sorted((s for s, n in left.items() if n and s <= capacity - first), reverse=True)
-        ways = fillings(sizes, left, capacity - first)
-        left[first] += 1
-        return iter([(first, *x) for x in ways])
-
-    def undo() -> None:
+    def take(own: tuple[int, ...], n: int) -> None:
         nonlocal waste
-        own, n = path.pop()
-        waste -= n * (capacity - sum(own))
+        waste += n * (capacity - sum(own))
         for s in own:
-            left[s] = left.get(s, 0) + n
+            left[s] = left.get(s, 0) - n
+            if not left[s]:
+                del left[s]
 
-    stack.append((0, choices()))
+    def choices() -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings of the next bin and how many such bins, within the waste that a better solution can have."""
+        first = max(left)
+        rest = dict(left)
+        rest[first] -= 1
+        for own in fillings(rest, capacity - first):
+            own = (first, *own)
+            lost = capacity - sum(own)
+            n = min(left[s] // own.count(s) for s in set(own))
+            if lost:
+                n = min(n, ((best_bins - 1) * capacity - total - waste) // lost)
+            if n <= 0:
+                return  # later ones waste no less
+            yield from ((own, k) for k in range(n, 0, -1))
+
+    stack = [choices()]
     while stack and spent < nodes and best_bins > least:
-        depth, ways = stack[-1]
-        while len(path) > depth:
-            undo()
-        own = next(ways, None)
-        if own is None:
+        if len(path) == len(stack):
+            own, n = path.pop()
+            take(own, -n)
+        step = next(stack[-1], None)
+        if step is None:
             stack.pop()
             continue
         spent += 1
-        need = Counter(own)
-        n = min(left[s] // k for s, k in need.items())
-        lost = n * (capacity - sum(own))
-        # a solution of fewer bins than the best wastes at most this much
-        if waste + lost > (best_bins - 1) * capacity - total:
-            n = ((best_bins - 1) * capacity - total - waste) // max(1, capacity - sum(own))
-            lost = n * (capacity - sum(own))
-            if n <= 0:
-                continue
-        for s, k in need.items():
-            left[s] -= k * n
-            if not left[s]:
-                del left[s]
-        path.append((own, n))
-        waste += lost
+        # the best may have become better since
+        if waste + step[1] * (capacity - sum(step[0])) > (best_bins - 1) * capacity - total:
+            continue
+        take(*step)
+        path.append(step)
         if left:
-            stack.append((len(path), choices()))
+            stack.append(choices())
         else:
             best, best_bins = list(path), sum(n for _, n in path)
     return best
@@ -243,11 +260,16 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """pieces() with sequence_id and offset: sequences of at most capacity ids, gapless from 0."""
+    """pieces() with sequence_id and offset: sequences of at most capacity ids, gapless from 0.
+
+    An empty table gives no rows, rows that repeat are packed each, a null doc_id stays null;
+    columns other than doc_id and text aren't read.
+    """
     cut = pieces(docs, capacity, tokenizer, keep_ids)
     per = table(cut.groupBy("length", "part").agg(F.count("*").alias("n")))
     # at most capacity rows, however many documents
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # no more rows than bins of the search have members, whatever the number of documents
     shared = docs.sparkSession.sparkContext.broadcast(slots(plan(counts, capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranks = table(per.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")))
