@@ -244,41 +244,53 @@ def test_encoder():
     assert [x.tolist() for x in Encoder(path).encode(pa.array(texts))] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_katz(docs, nothing):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(docs, nothing, order):
     from tidemark.llm.katz import EXTRA, K, discounts, scores
 
-    assert scores(nothing, F.lit(True)).count() == 0
-    none = scores(docs, F.lit(False)).collect()
+    assert scores(nothing, F.lit(True), order).count() == 0
+    none = scores(docs, F.lit(False), order).collect()
     assert len(none) == docs.count() and all(r.train_tokens == 0 and r.score == 0 for r in none)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     tokens = [SPACE.findall((t or "").translate(LOW)) + ["</s>"] for _, t in rows]
     train = [i is not None and i % 3 > 0 for i, _ in rows]
-    one, two = collections.Counter(), collections.Counter()
+    counts = {k: collections.Counter() for k in range(1, order + 1)}
     for t, learns in zip(tokens, train, strict=True):
         if learns:
-            one.update(t)
-            two.update(zip(["<s>", *t], t, strict=False))
-    n, kinds = sum(one.values()), len(one)
-    d1, d2 = (discounts([sum(v == r for v in c.values()) for r in range(1, K + 2)]) for c in (one, two))
-    off = lambda c, d: c * (d[c - 1] if c <= K else 1)
-    p1 = {w: off(c, d1) / n for w, c in one.items()}
-    unknown = 1 - sum(p1.values())
-    total, kept, taken = collections.Counter(), collections.Counter(), collections.Counter()
-    for (h, _), c in two.items():
-        total[h] += c
-    for (h, w), c in two.items():
-        kept[h] += off(c, d2) / (total[h] + EXTRA)
-        taken[h] += p1[w]
-
-    def log_p(h, w):
-        if c := two.get((h, w)):
-            return math.log10(off(c, d2) / (total[h] + EXTRA))
-        return math.log10(p1.get(w, unknown)) + (math.log10((1 - kept[h]) / (1 - taken[h])) if total[h] else 0)
-
-    for h in ["the", "<s>", *list(one)[:5]]:
-        assert abs(sum(10 ** log_p(h, w) for w in one if w != "<s>") + 10 ** log_p(h, "never seen") - 1) < 1e-9
-    found = scores(docs, F.coalesce(F.col("doc_id") % 3 > 0, F.lit(False))).collect()
-    want = sorted((-1 if i is None else i, sum(log_p(h, w) for h, w in zip(["<s>", *t], t, strict=False)), sum(math.log10((one[w] + 1) / (n + kinds + 1)) for w in t), len(t), sum(one[w] > 0 for w in t)) for (i, _), t in zip(rows, tokens, strict=True))
+            counts[1].update((w,) for w in t)
+            padded = ["<s>", *t]
+            for k in range(2, order + 1):
+                counts[k].update(tuple(padded[i : i + k]) for i in range(len(padded) - k + 1))
+    n, kinds = sum(counts[1].values()), len(counts[1])
+    d = {k: discounts([sum(v == r for v in c.values()) for r in range(1, K + 2)]) for k, c in counts.items()}
+    off = lambda k, c: c * (d[k][c - 1] if c <= K else 1)
+    after = collections.defaultdict(list)  # words after a history, and how often
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after[g[:-1]].append((g[-1], c))
+    unknown = 1 - sum(off(1, c) / n for c in counts[1].values())
+    alphas = {}
+
+    def p(h, w):
+        if not h:
+            c = counts[1].get((w,))
+            return off(1, c) / n if c else unknown
+        if h not in after:
+            return p(h[1:], w)
+        c = counts[len(h) + 1].get((*h, w))
+        if c:
+            return off(len(h) + 1, c) / (sum(x for _, x in after[h]) + EXTRA)
+        if h not in alphas:
+            total = sum(x for _, x in after[h]) + EXTRA
+            alphas[h] = (1 - sum(off(len(h) + 1, x) / total for _, x in after[h])) / (1 - sum(p(h[1:], x) for x, _ in after[h]))
+        return alphas[h] * p(h[1:], w)
+
+    histories = [h for k in range(1, order) for h in [x for x in after if len(x) == k][:4]] or [()]
+    for h in histories:
+        assert abs(sum(p(h, w) for (w,) in counts[1]) + p(h, "never seen") - 1) < 1e-9
+    found = scores(docs, F.coalesce(F.col("doc_id") % 3 > 0, F.lit(False)), order).collect()
+    log_p = lambda t: sum(math.log10(p(tuple((["<s>", *t])[max(0, i + 2 - order) : i + 1]), w)) for i, w in enumerate(t)) if order > 1 else sum(math.log10(p((), w)) for w in t)
+    want = sorted((-1 if i is None else i, log_p(t), sum(math.log10((counts[1][w,] + 1) / (n + kinds + 1)) for w in t), len(t), sum(counts[1][w,] > 0 for w in t)) for (i, _), t in zip(rows, tokens, strict=True))
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.score, r.base_score, r.n_tokens, r.n_known) for r in found)
     assert all(a[0] == b[0] and a[3:] == b[3:] and abs(a[1] - b[1]) < 1e-6 * (1 + abs(a[1])) and abs(a[2] - b[2]) < 1e-6 * (1 + abs(a[2])) for a, b in zip(want, got, strict=True))
 

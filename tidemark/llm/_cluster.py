@@ -36,7 +36,15 @@ def table(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Free the disk of tables that nothing reads any more."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t._tidemark_path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
