@@ -505,8 +505,8 @@ def test_toxicity(spark, docs, nothing):
 def test_warc(spark):
     from tidemark.llm.warc import merge, parse, round_trip, write
 
-    rows = [(i, f"https://www.Site{i % 3}.example.com:80/p?{i}#x", h) for i, h in enumerate(["<p>a</p>", "x\r\n\r\ny WARC/1.1", "", None, "<p>a</p>", "é中\n", "<p>a</p>"])] + [(None, None, "<p>a</p>"), (3, "again\r\n", None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(i, f"https://www.Site{i % 3}.example.com:80/p?{i}#x", h) for i, h in enumerate(["<p>a</p>", "x\r\n\r\ny WARC/1.1", "", None, "<p>a</p>", "é中\n", "<p>a</p>", "x\r\n", "\r\n\r\n", "z\r\n\r\n\r\n", "WARC/1.1 " * 400_000])] + [(None, None, "<p>a</p>"), (3, "again\r\n", None), (1 << 40, "u", "late")]
+    pages = spark.createDataFrame([(*x, "clash", 1) for x in rows], "page_id long, url string, html string, digest string, bytes int").repartition(4)
     found = round_trip(pages).collect()
     largest = {}
     for i, _, h in rows:
@@ -520,7 +520,8 @@ def test_warc(spark):
     import gzip
 
     raw = [gzip.decompress(r.content) for r in spark.read.format("binaryFile").load(write(pages)).collect()]
-    assert sum(len(list(parse(x))) for x in raw) == len(rows)
+    assert sum(len(list(parse([x]))) for x in raw) == len(rows)
+    assert [list(parse(x.split(b"\r\n\r\n"))) for x in raw] == [list(parse([x])) for x in raw]
     assert round_trip(pages.limit(0)).count() == 0
     rng = random.Random(9)
     for k in range(12):

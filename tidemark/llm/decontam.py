@@ -5,6 +5,9 @@ Those of one length share a matcher: a shift table by blocks of two words tells
 far the search may jump; where it may not, the block's bucket gives the test strings
 that end so, those whose first block agrees are compared with the text word by word.
 Many places of many texts are searched at once, each with a cursor of its own.
+
+Matchers are arrays, made once on the driver and broadcast; a benchmark of more than
+BENCHMARK_BYTES is searched in parts, each with its own.
 """
 
 from __future__ import annotations
@@ -20,31 +23,30 @@ from ._cluster import batches
 from ._text import ALNUM, U, Words, bytes_of, mix, split_words, word_runs
 
 WINDOW = 13
-#: Bytes of benchmark texts that are broadcast at once; more are searched in blocks, one after another.
-BENCHMARK_BYTES = 16 << 20
+#: Bytes of benchmark texts in one matcher, whose arrays take some 12 times as much; more are searched in parts, one after another.
+BENCHMARK_BYTES = 8 << 20
 #: Places that one cursor walks over.
 SEGMENT = 256
 TABLE_BITS = 18
 
 
 class Matcher:
-    """Test strings of one length: strings[k] are its words, hashes[k] their hashes."""
-
-    def __init__(self, strings: list[tuple[bytes, ...]], hashes: np.ndarray, items: list[list[str]]):
-        self.strings, self.items = strings, items
-        self.size = hashes.shape[1]
-        self.block = min(2, self.size)
-        self.shift = np.full(1 << TABLE_BITS, self.size - self.block + 1, dtype=np.int64)
-        for end in range(self.block - 1, self.size):
-            np.minimum.at(self.shift, self._slot(self._block(hashes, end)), self.size - 1 - end)
-        suffix = self._block(hashes, self.size - 1)
+    """Test strings of one length: the words from places[k] on of the benchmark's words, in items[cuts[k]:cuts[k + 1]]."""
+
+    def __init__(self, words: Words, places: np.ndarray, size: int, items: np.ndarray, cuts: np.ndarray):
+        self.words, self.places, self.size, self.items, self.cuts = words, places, size, items, cuts
+        self.block = min(2, size)
+        self.shift = np.full(1 << TABLE_BITS, size - self.block + 1, dtype=np.int64)
+        for end in range(self.block - 1, size):
+            np.minimum.at(self.shift, self._slot(self._block(end)), size - 1 - end)
+        suffix = self._block(size - 1)
         order = np.argsort(suffix, kind="stable")
-        self.order, self.suffix, self.prefix = order, suffix[order], self._block(hashes, self.block - 1)[order]
+        self.order, self.suffix, self.prefix = order, suffix[order], self._block(self.block - 1)[order]
 
-    def _block(self, hashes: np.ndarray, end: int) -> np.ndarray:
-        """Hash of the block of each row that ends at a column."""
-        h = hashes[:, end]
-        return mix(h if self.block == 1 else h + hashes[:, end - 1] * U(0x9E3779B97F4A7C15))
+    def _block(self, end: int) -> np.ndarray:
+        """Hash of each test string's block that ends at its word end."""
+        h = self.words.hash[self.places + end]
+        return mix(h if self.block == 1 else h + self.words.hash[self.places + end - 1] * U(0x9E3779B97F4A7C15))
 
     @staticmethod
     def _slot(block: np.ndarray) -> np.ndarray:
@@ -79,24 +81,36 @@ class Matcher:
             at, lo, n, head = at[on], lo[on], n[on], head[on]
             for i in np.flatnonzero(self.prefix[lo + k] == head):
                 string = int(self.order[lo[i] + k])
-                if all(words.word(at[i] + j).lower() == w for j, w in enumerate(self.strings[string])):
+                if all(words.word(at[i] + j).lower() == self.words.word(self.places[string] + j).lower() for j in range(self.size)):
                     yield int(at[i]), string
 
 
-def matchers(items: list[tuple], window: int = WINDOW) -> list[Matcher]:
-    """A matcher for each length of test strings of (item_id, text) rows."""
-    by: dict[int, dict] = {}
-    for item, text in items:
-        data, offsets = bytes_of(pa.array([text], pa.string()))
-        words = split_words(data, offsets, ALNUM)
-        tokens = [words.word(i).lower() for i in range(len(words.start))]
-        if tokens:
-            size = min(window, len(tokens))
-            for i in range(len(tokens) - size + 1):
-                h, found = by.setdefault(size, {}).setdefault(tuple(tokens[i : i + size]), (words.hash[i : i + size], []))
-                if item is not None and str(item) not in found:
-                    found.append(str(item))
-    return [Matcher(list(x), np.stack([h for h, _ in x.values()]), [found for _, found in x.values()]) for x in by.values()]
+def matchers(ids: list, texts: list, window: int = WINDOW) -> list[Matcher]:
+    """A matcher for each length of test strings of items, a few at most have fewer words than a window.
+
+    ids[k], by which items are listed, may be None: such an item isn't.
+    """
+    words = split_words(*bytes_of(pa.array(texts, pa.string())), ALNUM)
+    counts, found = words.counts(), []
+    for size in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+        own = np.flatnonzero(np.minimum(counts, window) == size)
+        per = counts[own] - size + 1
+        item = np.repeat(own, per)
+        place = words.first[:-1][item] + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        # equal strings are one: by two hashes of all their words
+        one, two = np.zeros(len(place), dtype=U), np.zeros(len(place), dtype=U)
+        for k in range(size):
+            h = words.hash[place + k]
+            one, two = mix(one * U(31) + h), mix((two ^ h) * U(0x9E3779B97F4A7C15) + U(k))
+        order = np.lexsort((item, two, one))
+        one, two, item, place = one[order], two[order], item[order], place[order]
+        head = np.ones(len(place), dtype=bool)
+        head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        of = np.cumsum(head) - 1
+        named = np.array([ids[i] is not None for i in item], dtype=bool) & np.concatenate([[True], (of[1:] != of[:-1]) | (item[1:] != item[:-1])])
+        cuts = np.searchsorted(of[named], np.arange(of[-1] + 2))
+        found.append(Matcher(words, place[head], size, item[named], cuts))
+    return found
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -116,10 +130,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     schema = out.schema
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        items = part.collect()
+        ids = [r["item"] for r in items]
+        shared = spark.sparkContext.broadcast((ids, matchers(ids, [r["text"] for r in items], window)))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found = matchers(shared.value, window)
+            names, found = shared.value  # kept by Spark for a worker's later tasks
             for batch in it:
                 before_hits, before_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
                 n_words, hits, items = [], [], []
@@ -130,7 +146,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                         for at, string in m.find(words):
                             covered[at] += 1
                             covered[at + m.size] -= 1
-                            ids.setdefault(int(np.searchsorted(words.first, at, "right")) - 1, set()).update(m.items[string])
+                            ids.setdefault(int(np.searchsorted(words.first, at, "right")) - 1, set()).update(str(names[x]) for x in m.items[m.cuts[string] : m.cuts[string + 1]])
                     inside = np.cumsum(covered) > 0
                     for t in range(j - i):
                         a, b = int(words.first[t]), int(words.first[t + 1])

@@ -1,31 +1,35 @@
 """WARC archives of pages: written, read back, and indexed by an external merge.
 
 Each archive is a text file of Spark's own writer (records are UTF-8 and end with the
-blank lines that separate records), so any file system that Spark writes to will do.
-Reading an archive gives a capture run, sorted by URL key and timestamp; runs are dealt
-to ranges of keys, and in each range a tree of losers merges the runs' parts.
+blank lines that separate records), so any file system that Spark writes to will do; it
+is compressed as one stream, offsets are places in what it holds. Archives are read as a
+stream of lines, of which one record at a time is held whole. Reading an archive gives a
+capture run, sorted by URL key and timestamp; runs are dealt to ranges of keys of at most
+about RANGE_ROWS captures, and in each range a tree of losers merges the runs' parts,
+which Spark's sort, that may spill, has put one after the other.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cluster import ROWS_CONF, lean, shared_dir, table
+from ._cluster import bounded, lean, shared_dir, table
 
 #: Records of one archive at most.
 RECORDS = 1000
-#: Captures are dated from here, a second for each page_id.
-EPOCH = 1_600_000_000
+RANGE_ROWS = 500_000
+#: Captures are dated from here, a second for each page_id, by its remainder of some centuries.
+EPOCH, SECONDS = 1_600_000_000, 1 << 33
 END = "\r\n\r\n"
-#: Characters of an id that fit a header line.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -56,15 +60,17 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of equal payloads of at least least_bytes bytes, that with the largest page_id is a
     response, the others are revisits of it; a null page_id is below all others. A null
-    html is an empty payload.
+    html is an empty payload. Rows that repeat give a record each, all of one type. Columns
+    other than page_id, url and html aren't read. Payloads are moved only where there are
+    too many repeated ones to broadcast their digests.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
-    largest = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"))
-    rows = rows.join(largest, "digest", "left").withColumn("revisit", F.coalesce(F.col("bytes") >= least_bytes, F.lit(False)) & F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")))
+    largest = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(bounded(table(largest.select("digest", "kept")), 64), "digest", "left").withColumn("revisit", F.coalesce(F.col("bytes") >= least_bytes, F.lit(False)) & F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")))
     payload = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))
     sha = base32_sha1(F.col("html").cast("binary"))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response")),
@@ -90,19 +96,44 @@ def write(pages: DataFrame, path: str | None = None) -> str:
     return path
 
 
-def parse(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, payload) of each record; lengths are trusted, so payloads may hold anything."""
-    at = 0
-    while at < len(archive):
-        stop = archive.index(b"\r\n\r\n", at)
-        version, *lines = archive[at:stop].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        headers = {k: v for k, _, v in (x.partition(": ") for x in lines)}
-        body = stop + 4
-        end = body + int(headers["Content-Length"])
-        yield at, headers, archive[body:end]
-        at = end + 4
+def parse(lines: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, payload) of each record of an archive, given in parts between which END stood.
+
+    Lengths are trusted, so payloads may hold anything.
+    """
+    end, held, at, need = END.encode(), bytearray(), 0, 0
+
+    def whole(room: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+        """Records that are all there, but for at most room bytes of the last one's end."""
+        nonlocal at, need
+        while True:
+            stop = held.find(end)
+            if not need:
+                if stop < 0:
+                    return
+                headers = _headers(held[:stop].decode(), at)
+                need = stop + 4 + int(headers["Content-Length"]) + 4
+            if len(held) + room < need:
+                return
+            yield at, _headers(held[:stop].decode(), at), bytes(held[stop + 4 : need - 4])
+            del held[:need]
+            at, need = at + need, 0
+
+    for k, line in enumerate(lines):
+        if k:
+            held += end
+        held += line
+        yield from whole(0)
+    yield from whole(4)
+    if held:
+        raise ValueError(f"an archive ends inside the record at {at}")
+
+
+def _headers(text: str, at: int) -> dict[str, str]:
+    version, *lines = text.split("\r\n")
+    if not version.startswith("WARC/"):
+        raise ValueError(f"no WARC record at {at}")
+    return {k: v for k, _, v in (x.partition(": ") for x in lines)}
 
 
 _CAPTURE = "url_key string, date string, page_id long, digest string, type string, refers_to long, payload_bytes long, archive string, offset long"
@@ -115,22 +146,22 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                found = []
-                for offset, h, payload in parse(zlib.decompress(content.as_buffer(), 47)):
-                    own = h["WARC-Record-ID"][10:-1]
-                    if h["WARC-Type"] == "response":
-                        digest, size, to = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload), None
-                    else:
-                        digest, size, to = h["WARC-Payload-Digest"][5:], int(h["X-Payload-Length"]), int(h["WARC-Refers-To"][10:-1])
-                    found.append((h.get("X-URL-Key", ""), h["WARC-Date"], int(own) if own else None, digest, h["WARC-Type"], to, size, name.as_py().rpartition("/")[2], offset))
-                found.sort(key=_order)
-                for i in range(0, len(found), 5000):
-                    yield _captures(found[i : i + 5000])
-
-    spark.conf.set(ROWS_CONF, "1")  # an archive at a time
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lean(run), _CAPTURE)
+        lines = ((name, line.as_buffer()) for batch in it for name, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for name, own in itertools.groupby(lines, lambda x: x[0]):
+            found = []
+            for offset, h, payload in parse(line for _, line in own):
+                page = h["WARC-Record-ID"][10:-1]
+                if h["WARC-Type"] == "response":
+                    digest, size, to = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload), None
+                else:
+                    digest, size, to = h["WARC-Payload-Digest"][5:], int(h["X-Payload-Length"]), int(h["WARC-Refers-To"][10:-1])
+                found.append((h.get("X-URL-Key", ""), h["WARC-Date"], int(page) if page else None, digest, h["WARC-Type"], to, size, name, offset))
+            found.sort(key=_order)
+            for i in range(0, len(found), 5000):
+                yield _captures(found[i : i + 5000])
+
+    # a compressed archive isn't split: its lines come in order, in one task
+    return spark.read.option("lineSep", END).text(path).select("_metadata.file_name", "value").mapInArrow(lean(run), _CAPTURE)
 
 
 def _order(x: tuple) -> tuple:
@@ -184,20 +215,26 @@ def index(captures: DataFrame) -> DataFrame:
     """All captures in order of URL key, date and page_id, over partitions too.
 
     captures (a table) holds runs, rows of one archive in order. Ranges are cut by all
-    three columns, so that the captures of one URL may be in several.
+    three columns, then by archive and offset, so that the captures of one URL may be in
+    several.
     """
 
+    def rows(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                yield from zip(*[c.to_pylist() for c in batch.slice(i, 500).columns], strict=True)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a range's part of each run: the batches that came, with slices of it in order
-        parts: dict[str, list[tuple]] = {}
+        # a range's part of each run, as slices of the batches that came
+        parts: dict[str, list[pa.RecordBatch]] = {}
         for batch in it:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                parts.setdefault(row[7], []).append(row)
-        for x in parts.values():
-            if any(_order(a) > _order(b) for a, b in zip(x, x[1:], strict=False)):
-                x.sort(key=_order)  # blocks of a run may arrive in any order
+            archive = batch.column(7).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(archive[1:] != archive[:-1]) + 1).tolist(), len(archive)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    parts.setdefault(archive[a], []).append(batch.slice(a, b - a))
         out = []
-        for row in merge([iter(x) for x in parts.values()], _order):
+        for row in merge([rows(x) for x in parts.values()], _order):
             out.append(row)
             if len(out) == 5000:
                 yield _captures(out)
@@ -205,9 +242,9 @@ def index(captures: DataFrame) -> DataFrame:
         if out:
             yield _captures(out)
 
-    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    captures.sparkSession.conf.set(ROWS_CONF, "10000")
-    return captures.repartitionByRange(parts, "url_key", "date", "page_id", "archive", "offset").mapInArrow(lean(run), _CAPTURE)
+    parts = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS))
+    key = ["url_key", "date", "page_id", "archive", "offset"]
+    return captures.repartitionByRange(parts, *key).sortWithinPartitions("archive", *key).mapInArrow(lean(run), _CAPTURE)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
