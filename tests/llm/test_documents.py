@@ -124,10 +124,14 @@ def test_neardup(docs, nothing, percent):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
 
 
-def test_neardup_group(spark):
-    """A group of copies with from none to many changed words: exactly the links of full sets."""
+@pytest.mark.parametrize("block", [512, 7])
+def test_neardup_group(spark, monkeypatch, block):
+    """A group of copies with from none to many changed words: exactly the links of full sets, in blocks too."""
+    from tidemark.llm import neardup
     from tidemark.llm.neardup import classes
 
+    monkeypatch.setattr(neardup, "BLOCK", block)
+
     rng = random.Random(2)
     words = [f"w{rng.randrange(10_000)}" for _ in range(140)]
     texts = {}

@@ -86,6 +86,18 @@ def bounded(df: DataFrame, bytes_per_row: int, more: Column | None = None) -> Da
     return F.broadcast(df) if total <= BROADCAST_BYTES else df.hint("merge")
 
 
+def keyed(rows: DataFrame, per: DataFrame, key: str, size: str) -> DataFrame:
+    """rows (a table) joined with per, a row for each key, size: how many of rows it has.
+
+    Keys of so many rows that they are few are broadcast, their rows stay where they are;
+    the others are joined by shuffle.
+    """
+    most = max(256, rows.count() * 64 // BROADCAST_BYTES)
+    hot = F.broadcast(per.where(F.col(size) > most))
+    cold = rows.join(hot, key, "left_anti").join(per.where(F.col(size) <= most).hint("merge"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label): for every id in an edge the smallest id reachable.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import batches, bounded, components, lean, table
+from ._cluster import batches, bounded, components, keyed, lean, table
 from ._text import U, bytes_of, mix, per_text, runs, split_words, splitmix, windows, word_runs
 
 TABLES, WIDTH = 8, 3
@@ -222,8 +222,8 @@ def _rarest(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
     some = texts.join(bounded(open_.select(F.col("m").alias("doc_id")), 16), "doc_id", "left_semi")
     tokens = table(batches(some.select("doc_id", "text"), run, "m long, key long"))
-    shared = tokens.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    shared = tokens.join(shared, "key").withColumns({"rank": F.row_number().over(Window.partitionBy("m").orderBy("f", "key")), "of": F.count("*").over(Window.partitionBy("m"))})
+    shared = table(tokens.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"))
+    shared = keyed(tokens, shared, "key", "f").withColumns({"rank": F.row_number().over(Window.partitionBy("m").orderBy("f", "key")), "of": F.count("*").over(Window.partitionBy("m"))})
     least_common = F.floor((F.col("n") * percent + 99) / 100)
     at = F.col("rank") + F.col("n") - F.col("of")  # those that no other has come first
     return shared.join(open_, "m").where(at <= F.col("n") - least_common + 1).select("key", "m", "n", "c", at.cast("int").alias("at"))
@@ -234,13 +234,21 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
     Of a pair's common shingles the first must leave room, behind its places in both, for
     as many as the similarity takes: that is what keeps the pairs of a large group few.
-    A key's members are dealt to blocks of about BLOCK, and tasks compare two blocks.
+    A key's members are dealt to blocks of about BLOCK, and tasks compare two blocks. Large
+    components have blocks of their own, which aren't compared with each other.
     """
     members = table(members)
-    mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "m", "n", "c", "at", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "m", "n", "c", "at")
+    per = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+    large = F.col("n") >= BLOCK
+    per = per.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.coalesce(F.ceil(F.sum(F.when(~large, F.col("n"))) / BLOCK), F.lit(0)).cast("int").alias("mixed"), F.array_sort(F.collect_list(F.when(large, F.struct("c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))))).alias("large"))
+    before = lambda i: F.aggregate(F.slice("large", F.lit(1), i), F.lit(0), lambda s, x: s + x["blocks"])
+    large = F.transform("large", lambda x, i: F.struct(x["c"].alias("c"), x["blocks"].alias("blocks"), (F.col("mixed") + before(i)).alias("from")))
+    per = table(per.where("kinds > 1").select("key", "size", "mixed", (F.col("mixed") + before(F.size("large"))).alias("all"), large.alias("large")))
+    dealt = keyed(members, per, "key", "size").withColumn("own", F.get(F.filter("large", lambda x: x["c"] == F.col("c")), F.lit(0)))
+    mine = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("c"), F.col("mixed"))).otherwise(F.col("own.from") + F.pmod(F.xxhash64("m"), F.col("own.blocks"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda k: F.col("own").isNull() | (k < F.col("own.from")) | (k >= F.col("own.from") + F.col("own.blocks")))
+    dealt = dealt.withColumn("mine", mine).select("key", "m", "n", "c", "at", "mine", F.explode(others).alias("other"))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "m", "n", "c", "at")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
