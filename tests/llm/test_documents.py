@@ -360,6 +360,58 @@ def test_pii_cues(spark):
     assert found == {i: [want[i]] if i in want else [] for i in range(len(texts))}
 
 
+def test_pii_two_contexts(spark):
+    """Identifiers found in one sentence make another one a pattern, which finds one more."""
+    from tidemark.llm.pii import spans
+
+    rows = [(i, f"You can call me at +1 (743) 555-{3000 + i} from now on") for i in range(20)]
+    rows += [(100 + i, f"You can call me at 0743-555{i} from now on. The badge with number 0743-555{i} opens every door.") for i in range(8)]
+    rows += [(200, "The badge with number 0743-5558 opens every door.")]
+    found = {r.doc.doc_id: sum(x.kind == "id" for x in r.spans) for r in spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {**{i: 0 for i in range(20)}, **{100 + i: 2 for i in range(8)}, 200: 1}
+
+
+def test_pii_graph(spark):
+    """Found values on random texts, against a plain computation of the graph."""
+    from tidemark.llm import pii
+
+    rng = random.Random(41)
+    cues = ["call me at", "badge number", "it is", "room", "see also"]
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            kind = rng.randrange(4)
+            thing = f"+1 (743) 555-{rng.randrange(1000, 1030)}" if kind == 0 else f"0743-{rng.randrange(1000, 1040)}" if kind == 1 else f"{rng.randrange(1, 30)}" if kind == 2 else rng.choice(["home", "noon"])
+            parts.append(f"{rng.choice(cues)} {thing} {rng.choice(['now', 'then please', 'or never', ''])}")
+        texts.append(" ".join(parts) + " " * 100 * (rng.random() < 0.1) + "x" * 90)
+    values, held, other = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    kind_of, places = {}, []
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t)
+        for a, b, seed in [(a, b, True) for _, a, b in base] + [(a, b, False) for a, b in pii._candidates(t, base)]:
+            kind_of[t[a:b]] = kind_of.get(t[a:b], False) or seed
+            left, right = t[:a].split()[-2:], t[b:].split()[:2]
+            mine = [f"L {' '.join(map(pii._word, left))}"] * (len(left) == 2) + [f"R {' '.join(map(pii._word, right))}"] * (len(right) == 2) + [f"B {pii._word(left[-1])} {pii._word(right[0])}"] * bool(left and right)
+            assert mine == pii.contexts(t, a, b)
+            for p in mine:
+                values[p].add(t[a:b])
+                held[p] += 1
+            if not seed:
+                places.append((i, t[a:b], a, b))
+    for t in texts:
+        other.update(pii.others(t, frozenset(values)))
+    known = {v for v, s in kind_of.items() if s}
+    while True:
+        strong = [p for p, v in values.items() if len(v & known) >= pii.MIN_SEEDS]
+        more = {v for p in strong if held[p] / (held[p] + other[p]) >= pii.MIN_SCORE for v in values[p]}
+        if more <= known:
+            break
+        known |= more
+    found = {(r.doc.doc_id, x.start, x.end) for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for x in r.spans if x.kind == "id"}
+    assert found == {(i, a, b) for i, v, a, b in places if v in known and not kind_of[v]} and len(found) > 20
+
+
 def test_pii_others():
     from tidemark.llm.pii import others
 

@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone", "id")
 MIN_SEEDS, MIN_SCORE = 5, 0.6
 #: Patterns that are looked for in one pass over the texts.
 PASS = 200_000
-#: Characters to either side that are looked at for context words.
+#: Characters to either side that are looked at first for context words; more, if they don't hold those whole.
 CONTEXT = 80
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,10 +88,30 @@ def _word(x: str) -> str:
     return x.strip(_EDGES).lower() or x
 
 
+def _words_before(text: str, end: int) -> list[str]:
+    """The last two words of text[:end], fewer if there are no more."""
+    size = CONTEXT
+    while True:
+        found = text[max(0, end - size) : end].split()
+        if size >= end or len(found) > 2:  # the first may be cut
+            return found[-2:]
+        size *= 4
+
+
+def _words_after(text: str, start: int) -> list[str]:
+    """The first two words of text[start:], fewer if there are no more."""
+    size = CONTEXT
+    while True:
+        found = text[start : start + size].split()
+        if start + size >= len(text) or len(found) > 2:
+            return found[:2]
+        size *= 4
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns of a span; none where it has no words around it."""
-    left = [_word(x) for x in text[max(0, start - CONTEXT) : start].split()[-2:]]
-    right = [_word(x) for x in text[end : end + CONTEXT].split()[:2]]
+    left = [_word(x) for x in _words_before(text, start)]
+    right = [_word(x) for x in _words_after(text, end)]
     found = []
     if len(left) == 2:
         found.append("L " + " ".join(left))
@@ -111,7 +131,7 @@ def _candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[i
             continue
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if not any(x < b and a < y for x, y in taken[k : k + 8]):
+        if k == len(taken) or taken[k][0] >= b:  # they come by their start
             yield a, b
 
 
@@ -196,15 +216,17 @@ def scores(edges: DataFrame, docs: DataFrame) -> DataFrame:
     elsewhere = _others(docs, kinds.select("pattern"))
     sure = table(kinds.join(elsewhere, "pattern", "left").select("pattern", (F.col("held") / (F.col("held") + F.coalesce("n", F.lit(0)))).alias("confidence")))
     edges = table(edges.join(bounded(sure, 64), "pattern").select("pattern", "value", "seed", "confidence"))
-    known, n_known = edges.where("seed").select("value").distinct(), -1
+    seeds = edges.where("seed").select("value").distinct()
+    known, n_known = table(seeds), -1
     while True:
-        strong = edges.join(known.withColumn("known", F.lit(True)), "value", "left").groupBy("pattern").agg(F.count("known").alias("n")).where(F.col("n") >= MIN_SEEDS).select("pattern")
-        now = table(edges.where("not seed").join(strong, "pattern").groupBy("value").agg(F.max("confidence").alias("score")))
+        # patterns of enough known values, seeds or found ones, anew in each round
+        strong = table(edges.join(bounded(known, 16), "value", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS).select("pattern"))
+        now = table(edges.where("not seed").join(bounded(strong, 64), "pattern", "left_semi").groupBy("value").agg(F.max("confidence").alias("score")))
         found = now.where(F.col("score") >= MIN_SCORE).select("value")
         n = found.count()
         if n == n_known or not n:
             return now
-        known, n_known = edges.where("seed").select("value").unionByName(found).distinct(), n
+        known, n_known = table(seeds.unionByName(found).distinct()), n
 
 
 def spans(docs: DataFrame, keep: bool = False) -> DataFrame:
