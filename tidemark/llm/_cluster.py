@@ -41,9 +41,26 @@ def table(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """table(), dealt by key to so many buckets, a file each: joins on the key with as many partitions leave it in place."""
+    spark, name = df.sparkSession, f"tidemark_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{name}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.table(name)
+    out._tidemark_path, out._tidemark_name = path, name
+    return out
+
+
 def spent(*tables: DataFrame) -> None:
     """Free the disk of tables that nothing reads any more."""
     for t in tables:
+        if hasattr(t, "_tidemark_name"):
+            t.sparkSession.sql(f"DROP TABLE {t._tidemark_name}")
         t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t._tidemark_path)
 
 

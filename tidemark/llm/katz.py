@@ -29,11 +29,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import batches, lean, spent, table
+from ._cluster import batches, bucketed, lean, spent, table
 from ._text import U, mix, splitmix, word_runs
 
 ORDER = 3
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 K, EXTRA = 5, 0.01
 END, START = splitmix(77, 2)
 _DOC_BITS = 23
@@ -59,6 +59,17 @@ def _unpack(b: bytes, delta: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if delta else x
 
 
+def _pack_values(x: np.ndarray) -> bytes:
+    """Doubles of which many are equal: the distinct ones, then which of them each is."""
+    values, of = np.unique(x, return_inverse=True)
+    return np.int64(len(values)).tobytes() + values.tobytes() + _pack(of)
+
+
+def _unpack_values(b: bytes) -> np.ndarray:
+    n = int(np.frombuffer(b, dtype=np.int64, count=1)[0])
+    return np.frombuffer(b, dtype=np.float64, count=n, offset=8)[_unpack(b[8 + 8 * n :]).astype(np.int64)]
+
+
 def discounts(n: list[int]) -> list[float]:
     """Good-Turing discounts d(1..K) from n(1..K+1), the numbers of keys seen so often.
 
@@ -104,7 +115,7 @@ def _there(sizes: np.ndarray, order: int) -> np.ndarray:
 _CHUNK = "chunk long, head binary, words binary, ranks binary"
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
+def _chunks(docs: DataFrame, parts: int) -> DataFrame:
     """A table of chunks: head has the sizes, kinds and ids of their documents."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +147,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield chunk(held)
 
-    return table(batches(docs, run, _CHUNK))
+    return bucketed(batches(docs, run, _CHUNK), "chunk", parts)
 
 
 def _opened(head: bytes, words: bytes, ranks: bytes) -> tuple[np.ndarray, ...]:
@@ -180,7 +191,7 @@ def _groups(it: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
         yield held
 
 
-def _counted(chunks: DataFrame, order: int, bits: int, parts: int) -> DataFrame:
+def _counted(chunks: DataFrame, order: int, bits: int, parts: int, longer: bool) -> DataFrame:
     """A table of the answers to chunks about their n-grams of an order, and of slices' statistics (chunk null)."""
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +228,7 @@ def _counted(chunks: DataFrame, order: int, bits: int, parts: int) -> DataFrame:
             for r, k in zip(group, keys, strict=True):
                 own = slice(at, at + len(k))
                 at += len(k)
-                yield pa.RecordBatch.from_pylist([{"order": order, "chunk": r["chunk"], "slice": r["slice"], "totals": _pack(total[of[own]]), "first": np.packbits(first[own]).tobytes(), "wanted": np.packbits(wanted[of[own]]).tobytes()}], pa.schema(_PARTS))
+                yield pa.RecordBatch.from_pylist([{"order": order, "chunk": r["chunk"], "slice": r["slice"], "totals": _pack(total[of[own]]), "first": np.packbits(first[own]).tobytes(), "wanted": np.packbits(wanted[of[own] if longer else []]).tobytes()}], pa.schema(_PARTS))
             stats = [*[int((total == r).sum()) for r in range(1, K + 2)], int(total.sum()), int((total > 0).sum())]
             yield pa.RecordBatch.from_pylist([{"order": order, "slice": group[0]["slice"], "stats": stats}], pa.schema(_PARTS))
 
@@ -229,7 +240,7 @@ def _log10(x: np.ndarray) -> np.ndarray:
     return np.log10(x, out=np.full(len(x), -np.inf), where=x > 0)
 
 
-_SCORED = "kind string, uid long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, h long, n long, slice int, a binary, b binary, c binary"
+_SCORED = "kind string, uid long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, h long, n long, slice int, a binary, b binary, c binary, d binary"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary()}
 _FIELDS = [(name, _KINDS[kind]) for name, kind in (x.split() for x in _SCORED.split(", "))]
 
@@ -239,23 +250,24 @@ def _scored_rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in _FIELDS], names=[k for k, _ in _FIELDS])
 
 
-def _chunk_scores(rows: list[dict], stats: dict[int, list[int]], bits: int) -> Iterator[pa.RecordBatch]:
+def _chunk_scores(row: dict, stats: dict[int, list[int]], bits: int) -> Iterator[pa.RecordBatch]:
     """A chunk's documents (P), the histories they back off from (U) and its part of those histories' sums (H)."""
-    number, order = rows[0]["chunk"], max(stats)
-    sizes, train, ids, null, tokens = _opened(rows[0]["head"], rows[0]["words"], rows[0]["ranks"])
+    number, order = row["chunk"], max(stats)
+    sizes, train, ids, null, tokens = _opened(row["head"], row["words"], row["ranks"])
     n, starts = len(sizes), np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(n), sizes)
     total, kinds = stats[1][K + 1], stats[1][K + 2]
     log_p = before = want = lower = None
     for k, history, grams, there in _grams(sizes, tokens, order):
-        answers = [r for r in rows[1:] if r["order"] == k]
+        answers = sorted((r for r in row["answers"] or () if r["order"] == k), key=lambda r: r["slice"])
         _, one, of = np.unique(grams[there], return_index=True, return_inverse=True)
         totals = [_unpack(r["totals"]).astype(np.int64) for r in answers]
-        first, wanted = (np.concatenate([np.unpackbits(np.frombuffer(r[x], dtype=np.uint8), count=len(t)) for r, t in zip(answers, totals, strict=True)]).astype(bool) if totals else np.empty(0, dtype=bool) for x in ("first", "wanted"))
+        first, wanted = (np.concatenate([np.unpackbits(np.frombuffer(r[x], dtype=np.uint8), count=len(t) if x == "first" or k < order else 0) for r, t in zip(answers, totals, strict=True)]).astype(bool) if totals else np.empty(0, dtype=bool) for x in ("first", "wanted"))
         totals = np.concatenate([np.empty(0, dtype=np.int64), *totals])
         count, own = np.zeros(len(tokens), dtype=np.int64), np.zeros(len(tokens), dtype=bool)
         count[there] = totals[of]
-        own[there] = wanted[of]
+        if k < order:  # it may be a history
+            own[there] = wanted[of]
         d = np.array([0.0, *discounts(stats[k][: K + 1])])
         kept = count * np.where(count <= K, d[np.minimum(count, K)], 1.0)
         if k == 1:
@@ -289,7 +301,7 @@ def _chunk_scores(rows: list[dict], stats: dict[int, list[int]], bits: int) -> I
                 sums = [np.bincount(of, x, len(h)) for x in (count[mine] - kept[mine], lower[mine])]
                 held = seen[mine][at]
                 cut = list(_slices(h, bits))
-                yield _scored_rows(kind=["H"] * len(cut), uid=[_to(x, 0) for x, _ in cut], slice=[x for x, _ in cut], a=[_pack(h[x], True) for _, x in cut], b=[_pack(held[x]) for _, x in cut], c=[_pack(np.concatenate([v[x] for v in sums]).view(U)) for _, x in cut])
+                yield _scored_rows(kind=["H"] * len(cut), uid=[_to(x, 0) for x, _ in cut], slice=[x for x, _ in cut], a=[_pack(h[x], True) for _, x in cut], b=[_pack(held[x]) for _, x in cut], c=[_pack_values(sums[0][x]) for _, x in cut], d=[_pack_values(sums[1][x]) for _, x in cut])
             lower = p
         before, want = count, own
     yield _scored_rows(kind=["P"] * n, uid=np.int64(number) << _DOC_BITS | np.arange(n), doc_id=pa.array(ids, mask=null), train=train, n_tokens=sizes, n_known=n_known, base_score=base, score=np.add.reduceat(log_p, starts))
@@ -301,8 +313,7 @@ def _weights(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, of = np.unique(np.concatenate([_unpack(r["a"], True) for r in group]), return_inverse=True)
         c = np.zeros(len(h), dtype=np.int64)
         c[of] = np.concatenate([_unpack(r["b"]) for r in group]).astype(np.int64)
-        values = np.concatenate([_unpack(r["c"]).view(np.float64).reshape(2, -1) for r in group], axis=1)
-        off, taken = (np.bincount(of, x, len(h)) for x in values)
+        off, taken = (np.bincount(of, np.concatenate([_unpack_values(r[x]) for r in group]), len(h)) for x in ("c", "d"))
         alpha = np.log10((EXTRA + off) / (c + EXTRA)) - np.log10(np.maximum(1 - taken, 1e-12))
         for i in range(0, len(h), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000].view(np.int64)), pa.array(alpha[i : i + 100_000])], names=["h", "alpha"])
@@ -318,8 +329,8 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(2, (parts - 1).bit_length() + 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    chunks = _chunks(rows)
-    answers = [_counted(chunks, k, bits, parts) for k in range(1, order + 1)]
+    chunks = _chunks(rows, parts)
+    answers = [_counted(chunks, k, bits, parts, k < order) for k in range(1, order + 1)]
     stats = {k: [0] * (K + 3) for k in range(1, order + 1)}
     for k, found in enumerate(answers, 1):
         # one row for each number
@@ -327,16 +338,15 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             stats[k][r["at"]] = r["n"]
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(it, "chunk"):
-            yield from _chunk_scores(group, stats, bits)
-
-    none = F.lit(None)
-    by_chunk = chunks.select(F.lit(0).alias("order"), "chunk", F.lit(-1).alias("slice"), "head", "words", "ranks", *[none.cast("binary").alias(c) for c in ("totals", "first", "wanted")])
-    for found in answers:
-        by_chunk = by_chunk.unionByName(found.where("chunk is not null").select("order", "chunk", "slice", *[none.cast("binary").alias(c) for c in ("head", "words", "ranks")], "totals", "first", "wanted"))
-    scored = table(by_chunk.repartition(parts, F.xxhash64("chunk")).sortWithinPartitions("chunk", "order", "slice").mapInArrow(lean(score), _SCORED))
+        for (row,) in _groups(it, "chunk"):
+            yield from _chunk_scores(row, stats, bits)
+
+    # answers come to their chunks, which stay where they are
+    found = functools.reduce(DataFrame.unionByName, answers).where("chunk is not null")
+    found = found.groupBy("chunk").agg(F.collect_list(F.struct("order", "slice", "totals", "first", "wanted")).alias("answers"))
+    scored = table(chunks.hint("merge").join(found, "chunk", "left").mapInArrow(lean(score), _SCORED))
     spent(chunks, *answers)
-    sums = scored.where("kind = 'H'").select("slice", "a", "b", "c", "uid").repartition(parts, "uid").sortWithinPartitions("slice")
+    sums = scored.where("kind = 'H'").select("slice", "a", "b", "c", "d", "uid").repartition(parts, "uid").sortWithinPartitions("slice")
     alpha = table(sums.mapInArrow(lean(_weights), "h long, alpha double"))
     more = scored.where("kind = 'U'").select("uid", "h", "n").join(alpha, "h").groupBy("uid").agg(F.sum(F.col("n") * F.col("alpha")).alias("more"))
     out = scored.where("kind = 'P'").select("uid", "doc_id", "train", "n_tokens", "n_known", "base_score", "score").join(more, "uid", "left")
