@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import text as T
 from ..functions import versions as V
+from ..plans.tables import written
 
 _HEADER = r"(?i)(?:Changes?\s+with\s+[^\s]+\s+|Changelog\s+(?:with\s+[^\s]+\s+)?|(?:^|\s)(?:v|version\s+)?)(\d+(?:\.\d+){1,3})(?=\s|$)"
 
@@ -147,3 +149,37 @@ def feed_items(items: DataFrame) -> DataFrame:
     one = items.withColumn("k", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc(hit), "ord"))).where("k = 1 and content <> ''")
     found = F.nullif(F.regexp_extract("title", r"\d+\.\d+(?:\.\d+)?", 0), F.lit(""))
     return one.select("feed", V.canonical(F.coalesce("target", found, F.lit("0.0.0"))).alias("version"), "title", T.tidy(F.col("content")).alias("content"))
+
+
+def by_source(pages: DataFrame, published: DataFrame, items: DataFrame) -> DataFrame:
+    """(page_id, attempt, version, content, language, confidence): a changelog for each page that some attempt finds one for.
+
+    pages: page_id, type (of its source, as classified), repo, feed, target, html, linked
+    (the HTML of the page that its newest version, or the target, links to) and rendered
+    (its HTML as a browser has it), any of them null. published: releases of repositories;
+    items: those of feeds, as their readers give them. A repository has its newest
+    release, a feed its item. A page has the first of: the target's section of the main
+    text as Markdown, its first section with a version, the whole main text, the linked
+    page, the page by its markup if good, as rendered, and by its markup at all.
+    """
+    none = F.lit(None).cast("string")
+    out = pages.where("type = 'github-releases'").join(releases(published), "repo").select("page_id", F.lit(1).alias("attempt"), "version", "content")
+    asked = items.drop("target").join(pages.where("type = 'rss'").select("feed", "target").distinct(), "feed")
+    found = feed_items(asked).select("feed", "version", "content")
+    out = out.unionByName(pages.where("type = 'rss'").join(found, "feed").select("page_id", F.lit(2).alias("attempt"), "version", "content"))
+    page = written(pages.where("type = 'changelog-page'").select("page_id", "target", "html", "linked", "rendered", H.main_text("html").alias("main")))
+    long_ = (F.length("content") > 100) & ~F.col("content").rlike(r"</?[a-z][\s>]")
+    for attempt, target in ((3, F.col("target")), (4, none)):
+        sections = markdown_sections(page.where("main <> ''").select("page_id", target.alias("target"), "main"), "main")
+        out = out.unionByName(sections.where(long_).select("page_id", F.lit(attempt).alias("attempt"), "version", "content"))
+    whole = page.select("page_id", F.lit(5).alias("attempt"), V.canonical(F.coalesce("target", F.lit("0.0.0"))).alias("version"), T.tidy(F.col("main")).alias("content"))
+    out = out.unionByName(whole.where((F.length("content") > 100) & ~T.not_a_changelog(F.col("content"))))
+    named = changelogs(page.where("linked is not null").select("page_id", "target", F.col("linked").alias("html")))
+    out = out.unionByName(named.where("length(content) > 20").select("page_id", F.lit(6).alias("attempt"), "version", "content"))
+    inline = written(changelogs(page.where("html is not null").select("page_id", "target", "html")))
+    out = out.unionByName(inline.where((F.length("content") > 300) & T.good_changelog(F.col("content"))).select("page_id", F.lit(7).alias("attempt"), "version", "content"))
+    shown = changelogs(page.where("rendered is not null").select("page_id", "target", F.col("rendered").alias("html")))
+    out = out.unionByName(shown.where("length(content) > 20").select("page_id", F.lit(8).alias("attempt"), "version", "content"))
+    out = out.unionByName(inline.where("length(content) > 150").select("page_id", F.lit(9).alias("attempt"), "version", "content"))
+    best = out.groupBy("page_id").agg(F.min_by(F.struct("attempt", "version", "content"), "attempt").alias("x")).select("page_id", "x.attempt", "x.version", "x.content")
+    return best.withColumn("language", T.language(F.col("content"))).withColumn("confidence", F.when(F.col("attempt").isin(6, 8), "medium").otherwise("high"))

@@ -5,20 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written once and read back: a short plan from here on, and no recomputation.
-
-    The folder is that of spark.checkpoint.dir; on a local master only, one of our own where it is unset.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir; on a local master only, one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tidemark_tables", None)
     if not at:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = spark._tidemark_tables = tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{at.rstrip('/')}/plans/{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: a short plan from here on, and no recomputation."""
+    path = f"{folder(df.sparkSession)}/plans/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

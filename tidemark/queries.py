@@ -38,11 +38,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _CAND = {
-    "page_id": "l_orderkey % 2000",
+    "page_id": "CAST(floor(l_orderkey / 8) AS BIGINT)",
     "version": "concat('v', CAST(l_suppkey % 4 + 1 AS STRING), '.', CAST(l_partkey % 6 AS STRING), CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('.', CAST(l_linenumber AS STRING)) END)",
     "prob": "CAST(l_partkey % 97 AS DOUBLE) / 100",
     "score": "CAST(l_suppkey % 50 AS DOUBLE)",
-    "ord": "l_partkey * 100 + l_linenumber",
+    "ord": "l_partkey * 1000 + l_orderkey % 8 * 10 + l_linenumber",
     "scope": "CASE l_linenumber WHEN 1 THEN 'title' WHEN 2 THEN 'body' WHEN 3 THEN 'heading' WHEN 4 THEN 'changelog-header' WHEN 5 THEN 'url' ELSE 'structured' END",
     "quantity": "CAST(l_quantity AS BIGINT)",
     "seen": "l_suppkey % 3 > 0",
@@ -652,12 +652,12 @@ def corpus_corrections(spark, sf_dir):
 
 
 @query(
-    f"""WITH a AS (SELECT page_id, ord, version AS wanted, label FROM @notes), c AS (SELECT DISTINCT page_id, version FROM @cands WHERE page_id < 300)
+    f"""WITH a AS (SELECT page_id, ord, version AS wanted, label FROM @notes), c AS (SELECT DISTINCT page_id, version FROM @cands)
     SELECT c.page_id, c.version, wanted, label FROM c JOIN a ON c.page_id = a.page_id AND {_sql_matches("c.version", "wanted")} QUALIFY row_number() OVER (PARTITION BY c.page_id, c.version ORDER BY ord) = 1"""
 )
 def annotation_join(spark, sf_dir):
     notes = _notes(spark, sf_dir).select("page_id", "ord", F.col("version").alias("wanted"), "label")
-    return datasets.first_annotation(_cands(spark, sf_dir).where("page_id < 300").select("page_id", "version"), notes)
+    return datasets.first_annotation(_cands(spark, sf_dir).select("page_id", "version"), notes)
 
 
 @query(
@@ -809,3 +809,6 @@ def registry_matches(spark, sf_dir):
     requests = part.selectExpr("p_partkey % 40 AS request_id", "p_brand AS product", "'https://www.shop.example/x' AS url").distinct()
     entries = part.selectExpr("lower(p_brand) AS token", "CASE WHEN p_brand LIKE '%5' THEN 'https://other.example' ELSE 'https://shop.example' END AS homepage", "'2.0' AS version").distinct()
     return registries.matched_entries(requests, entries).select("request_id", "token", F.col("version").alias("v")).distinct()
+
+
+from . import queries_jobs  # noqa: E402, F401  registers its own
