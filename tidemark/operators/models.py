@@ -35,6 +35,32 @@ def rank_model(rows: DataFrame, columns: list[str], rounds: int = 20, depth: int
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), trees]).fit(graded)
 
 
+def embedding_model(train: DataFrame, validation: DataFrame, strengths: tuple[float, ...] = (0.0001, 0.001, 0.01, 0.1, 1.0)) -> tuple[PipelineModel, float]:
+    """Logistic regression on embeddings (embedding, label), and its F1 on the validation rows: the regularisation that does best there."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = train.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label")).cache()
+    best = None
+    for strength in strengths:
+        model = Pipeline(stages=[LogisticRegression(regParam=strength)]).fit(rows)
+        found = model.transform(validation.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label")))
+        n = found.agg(F.count_if("prediction = 1 and label = 1").alias("hit"), F.count_if("prediction = 1").alias("said"), F.count_if("label = 1").alias("true")).first()
+        f1 = 2 * n["hit"] / max(1, n["said"] + n["true"])
+        if best is None or f1 > best[1]:
+            best = model, f1
+    rows.unpersist()
+    return best
+
+
+def cosine_choice(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(page_id, id, cosine): of each page's vectors (page_id, id, embedding) the one nearest to its query (page_id, query); the least id of equal ones, null vectors last."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("query"), F.col("query")))
+    rows = vectors.join(queries, "page_id").select("page_id", "id", (dot(F.col("embedding"), F.col("query")) / F.nullif(size, F.lit(0.0))).alias("cosine"))
+    best = rows.groupBy("page_id").agg(F.max(F.struct(F.coalesce("cosine", F.lit(-2.0)).alias("c"), (-F.col("id")).alias("i"))).alias("x"))
+    return best.select("page_id", (-F.col("x.i")).alias("id"), F.when(F.col("x.c") > -2, F.col("x.c")).alias("cosine"))
+
+
 def pair_model(pairs: DataFrame) -> PipelineModel:
     """Logistic regression on differences of vectors pos and neg, taken both ways."""
     diff = lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("double") - y)

@@ -10,6 +10,7 @@ its error, never an exception; URLs of private hosts aren't fetched.
 from __future__ import annotations
 
 import json
+import socket
 import time
 import urllib.error
 import urllib.request
@@ -21,8 +22,16 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 AGENT = "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0 Safari/537.36"
 
 
-def allowed(url: str) -> bool:
-    """Plain http(s) without credentials, not to a private or local host."""
+def _addresses(host: str) -> list[str]:
+    """What a host's name resolves to; nothing if it doesn't."""
+    try:
+        return [x[4][0] for x in socket.getaddrinfo(host, None)]
+    except OSError:
+        return []
+
+
+def allowed(url: str, addresses=_addresses) -> bool:
+    """Plain http(s) without credentials, not to a private or local host, nor to a name of one."""
     import ipaddress
 
     try:
@@ -35,10 +44,23 @@ def allowed(url: str) -> bool:
     try:
         return ipaddress.ip_address(host).is_global
     except ValueError:
-        return True
+        return all(ipaddress.ip_address(x.partition("%")[0]).is_global for x in addresses(host))
+
+
+class _Checked(urllib.request.HTTPRedirectHandler):
+    """Redirects are followed only to where a request may go."""
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        if not allowed(newurl):
+            raise ValueError(f"redirect to {newurl} not allowed")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def _open(request: urllib.request.Request, timeout: float):
+    return urllib.request.build_opener(_Checked).open(request, timeout=timeout)
 
 
-def fetch(url: str, timeout: float = 15, attempts: int = 3, wait: float = 1, opener=urllib.request.urlopen) -> tuple[int, str, str | None]:
+def fetch(url: str, timeout: float = 15, attempts: int = 3, wait: float = 1, opener=_open) -> tuple[int, str, str | None]:
     """(status, text, error) of one page; waits 1, 2, 4 ... seconds between attempts."""
     if not allowed(url):
         return 0, "", "url not allowed"

@@ -32,11 +32,8 @@ def keep_audit(stream: DataFrame, audit: str, checkpoint: str) -> StreamingQuery
 
     def batch(pages: DataFrame, number: int) -> None:
         new = entries(pages)
-        try:
+        if number:  # a later batch without a table before it is an error, not an empty audit
             new = upserted(pages.sparkSession.read.parquet(f"{audit}/{number - 1}"), new)
-        except Exception as e:  # the first batch has no table before it
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new.write.mode("overwrite").parquet(f"{audit}/{number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
