@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is counted and has at most this many bytes.
 BROADCAST_BYTES = 32 << 20
-#: Shuffle files go when the job that wrote a table is done.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: its shuffle files go when it is done, and batches for Python are small.
+WHILE_WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Rows of texts that an operator's function gets at once.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,16 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextlib.contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that hold inside; then those of before."""
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _set(spark, WHILE_WRITTEN):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
@@ -45,12 +57,8 @@ def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
     """table(), dealt by key to so many buckets, a file each: joins on the key with as many partitions leave it in place."""
     spark, name = df.sparkSession, f"tidemark_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tidemark/{name}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _set(spark, WHILE_WRITTEN):
         df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.table(name)
     out._tidemark_path, out._tidemark_name = path, name
     return out
@@ -89,8 +97,12 @@ def lean(f: Callable) -> Callable:
 
 
 def batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """mapInArrow; Spark bounds the bytes of a batch, workers give memory back."""
-    return df.mapInArrow(lean(f), schema)
+    """mapInArrow with at most BATCH_ROWS rows at once; workers give memory back."""
+
+    def run(it):
+        return f(batch.slice(i, BATCH_ROWS) for batch in it for i in range(0, batch.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(lean(run), schema)
 
 
 def bounded(df: DataFrame, bytes_per_row: int, more: Column | None = None) -> DataFrame:
