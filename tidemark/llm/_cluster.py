@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is counted and has at most this many bytes.
 BROADCAST_BYTES = 32 << 20
-#: What holds while a table is written: its shuffle files go when it is done, and batches for Python are small.
-WHILE_WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Shuffle files go when the job that wrote a table is done.
+WHILE_WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Bytes of a batch for Python, where the session has Spark's default: executors keep the memory of large ones.
+BATCH_BYTES = 4 << 20
+_BYTES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64MB", "64m")
 #: Rows of texts that an operator's function gets at once.
 BATCH_ROWS = 1000
 
@@ -97,7 +100,12 @@ def lean(f: Callable) -> Callable:
 
 
 def batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """mapInArrow with at most BATCH_ROWS rows at once; workers give memory back."""
+    """mapInArrow with at most BATCH_ROWS rows at once; workers give memory back.
+
+    If the session has no size of batches of its own, it gets BATCH_BYTES from here on, as plans run later.
+    """
+    if df.sparkSession.conf.get(_BYTES) in _DEFAULT:
+        df.sparkSession.conf.set(_BYTES, str(BATCH_BYTES))
 
     def run(it):
         return f(batch.slice(i, BATCH_ROWS) for batch in it for i in range(0, batch.num_rows, BATCH_ROWS))
