@@ -39,6 +39,10 @@ def _windows(hash_at, size: Column) -> Column:
     return F.when(size > 3, F.transform(F.sequence(F.lit(0), size - 3), hash_at)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _among(words: list[str]):
+    return lambda x: F.lower(x).isin(words)
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """The contract's counts and the histograms of each row, without its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -68,8 +72,11 @@ def _counts(docs: DataFrame) -> DataFrame:
     def chars(c: str) -> Column:
         return F.length(F.regexp_replace("text", f"[^{c}]+", ""))
 
-    spread = F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" "))
-    base = base.withColumn("spread", spread)
+    # the common words alone, then each counted among them
+    common = F.array().cast("array<string>")
+    for lang, words in COMMON_WORDS.items():
+        common = F.when(F.col("lang") == lang, F.filter("words", _among(words))).otherwise(common)
+    base = base.withColumn("spread", F.concat(F.lit(" "), F.lower(F.array_join(common, "  ")), F.lit(" ")))
 
     def count_of(w: str) -> Column:
         return ((F.length("spread") - F.length(F.replace("spread", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
