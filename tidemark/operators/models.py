@@ -44,7 +44,7 @@ def embedding_model(train: DataFrame, validation: DataFrame, strengths: tuple[fl
     for strength in strengths:
         model = Pipeline(stages=[LogisticRegression(regParam=strength)]).fit(rows)
         found = model.transform(validation.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label")))
-        n = found.agg(F.count_if("prediction = 1 and label = 1").alias("hit"), F.count_if("prediction = 1").alias("said"), F.count_if("label = 1").alias("true")).first()
+        n = found.agg(F.count_if(F.expr("prediction = 1 and label = 1")).alias("hit"), F.count_if(F.col("prediction") == 1).alias("said"), F.count_if(F.col("label") == 1).alias("true")).first()
         f1 = 2 * n["hit"] / max(1, n["said"] + n["true"])
         if best is None or f1 > best[1]:
             best = model, f1

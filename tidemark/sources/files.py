@@ -57,7 +57,7 @@ def snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """(id, html) of HTML files, named by id."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.html?$", 1)
-    return spark.read.option("wholetext", True).text(path).select(name.alias("id"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(name.alias("id"), F.col("value").alias("html"))
 
 
 def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
