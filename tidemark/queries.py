@@ -747,7 +747,7 @@ def html_to_markdown(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", H.markdown("html").alias("markdown"), H.main_text("html").alias("main_text"))
 
 
-@query()
+@query(r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN nullif(regexp_extract(coalesce(html, ''), 'Version (\d+\.\d+)', 1), '') WHEN page_id % 3 = 1 THEN nullif(regexp_extract(coalesce(html, ''), '\d+\.\d+\.\d+'), '') END AS found FROM @pages")
 def user_patterns(spark, sf_dir):
     pattern = F.when(F.col("page_id") % 3 == 0, r"Version (\d+\.\d+)").when(F.col("page_id") % 3 == 1, r"\d+\.\d+\.\d+").otherwise("(unclosed")
     return fixture.pages(spark, sf_dir).select("page_id", H.by_pattern("html", pattern).alias("found"))
