@@ -68,6 +68,9 @@ class Encoder:
 
     #: Distinct pieces held at most; more, and the store begins anew.
     HELD = 400_000
+    #: Bytes of texts split at once (tables of powers double beyond a power of two), pieces encoded at once:
+    #: both only bound memory.
+    RUN, PIECES = (1 << 18) - 2, 2_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -78,7 +81,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        # hashes in order, and the place in the store of each
+        self.known, self.slot = np.empty(0, dtype=U), np.empty(0, dtype=np.int32)
         self.at, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -91,25 +95,35 @@ class Encoder:
         np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
         h = mix((sums[end] - sums[begin]) * down[begin])
         distinct, one, of = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slots) + len(distinct) > self.HELD:
+        if len(self.known) + len(distinct) > self.HELD:
             self._clear()
-        get = self.slots.get
-        found = np.array([get(x, -1) for x in distinct.tolist()], dtype=np.int64)
-        new = np.flatnonzero(found < 0)
+        place = np.searchsorted(self.known, distinct)
+        old = np.zeros(len(distinct), dtype=bool)
+        inside = place < len(self.known)
+        old[inside] = self.known[place[inside]] == distinct[inside]
+        found = np.empty(len(distinct), dtype=np.int64)
+        found[old] = self.slot[place[old]]
+        new = np.flatnonzero(~old)
         if len(new):
             raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(begin[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
-            encoded = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            found[new] = len(self.slots) + np.arange(len(new))
-            self.slots.update(zip(distinct[new].tolist(), found[new].tolist(), strict=True))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in encoded])])
-            self.ids = np.concatenate([self.ids, np.array([i for x in encoded for i in x], dtype=np.uint32)])
+            sizes, ids = [], []
+            for k in range(0, len(new), self.PIECES):
+                some = one[new[k : k + self.PIECES]]
+                texts = [raw[a:b].decode() for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+                encoded = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in encoded], dtype=np.int64))
+                ids.append(np.array([i for x in encoded for i in x], dtype=np.uint32))
+            found[new] = len(self.known) + np.arange(len(new))
+            self.slot = np.insert(self.slot, place[new], found[new])
+            self.known = np.insert(self.known, place[new], distinct[new])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+            self.ids = np.concatenate([self.ids, *ids])
         return found[of]
 
     def encode(self, column) -> Iterator[np.ndarray]:
         """The ids of each text of a string column; null is empty."""
         data, offsets = bytes_of(column)
-        for i, j in runs(offsets, 1 << 20):
+        for i, j in runs(offsets, self.RUN):
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if not len(part):
                 yield from (np.empty(0, dtype=np.uint32) for _ in range(i, j))
