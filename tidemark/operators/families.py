@@ -106,7 +106,8 @@ def selected(scored: DataFrame, hits: DataFrame | None = None) -> DataFrame:
         stats = stats.withColumn("named", F.lit(0.0))
     total = F.col("score") + F.coalesce("named", F.lit(0.0)) - F.when(F.col("size") == 1, 1.2).otherwise(0.0)
     page = Window.partitionBy("page_id")
-    near = stats.withColumn("total", total).withColumn("gap", F.max("total").over(page) - F.col("total")).where(F.col("gap") <= NEAR_TIE)
+    # sums of doubles differ in their last digits by the order of rows: those don't decide
+    near = stats.withColumn("total", F.round(total, 9)).withColumn("gap", F.round(F.max("total").over(page) - F.col("total"), 9)).where(F.col("gap") <= NEAR_TIE)
     best = near.withColumn("k", F.row_number().over(page.orderBy(F.desc("size"), F.desc("trajectory"), F.desc("total"), "family"))).where("k = 1").select("page_id", "family", "size")
     inside = members.join(best, ["page_id", "family"])
     majors = inside.select("page_id", "major", "size").distinct()

@@ -460,14 +460,33 @@ def version_families(spark, sf_dir):
     return stats.select("page_id", F.col("family").cast("long").alias("family"), "size", "latest", F.round("score", 6).alias("score"))
 
 
-@query()
+_MEMBERS = "(SELECT * FROM i JOIN f USING (page_id, i))"
+
+
+@query(
+    _FAMILY_SQL
+    + f""", s AS (SELECT page_id, family, count(*) AS size, count(DISTINCT key[1:2]) AS bases, avg(prob) AS mean, avg(CASE WHEN anchored THEN 1.0 ELSE 0.0 END) AS share, arg_max(prob, {{'k': key, 'v': version}}) AS latest FROM {_MEMBERS} GROUP BY page_id, family),
+    named AS (SELECT DISTINCT m.page_id, m.family FROM {_MEMBERS} m JOIN @cands h ON h.page_id = m.page_id AND {_sql_bare("h.version")} = {_sql_bare("m.version")} WHERE h.prob > 0.9),
+    t AS (SELECT s.*, least(1.0, (size + bases) / 12) AS trajectory, round(ln(1 + size) * 1.5 + least(size / bases, 3.0) * 0.5 + least(1.0, (size + bases) / 12) * 1.8 + mean * 0.45 + share * 0.25 + latest * 0.35 - CASE WHEN size = 1 THEN 2.7 ELSE 0 END + CASE WHEN n.family IS NULL THEN 0 ELSE 3 END, 9) AS total
+      FROM s LEFT JOIN named n USING (page_id, family)),
+    near AS (SELECT *, max(total) OVER (PARTITION BY page_id) AS top FROM t),
+    best AS (SELECT page_id, family, size FROM near WHERE round(top - total, 9) <= 0.15 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY size DESC, trajectory DESC, total DESC, family) = 1),
+    own AS (SELECT page_id, version, prob, key, size FROM {_MEMBERS} JOIN best USING (page_id, family)),
+    pool AS (SELECT * FROM own UNION SELECT c.page_id, c.version, c.prob, c.key, m.size FROM (SELECT page_id, version, prob, {_sql_evolution("version")} AS key FROM @cands WHERE prob > 0.1) c JOIN (SELECT DISTINCT page_id, key[1] AS major, size FROM own) m ON m.page_id = c.page_id AND m.major = c.key[1])
+    SELECT page_id, version, prob, size AS family_size FROM pool QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY key DESC, version DESC, prob DESC, size DESC) = 1"""
+)
 def family_selection(spark, sf_dir):
     """Each page's version by its best family, product hits counted."""
     rows = _family_input(spark, sf_dir)
     return families.selected(rows, rows.where("prob > 0.9").select("page_id", "version"))
 
 
-@query()
+@query(
+    _FAMILY_SQL
+    + f""", s AS (SELECT page_id, family, count(*) AS size, arg_max(version, {{'k': key, 'v': version}}) AS latest FROM {_MEMBERS} GROUP BY page_id, family),
+    seed AS (SELECT page_id, version, coalesce(score - lead(score) OVER w, 1.0) AS margin FROM @cands WHERE prob > 0.3 WINDOW w AS (PARTITION BY page_id ORDER BY score DESC, prob DESC, {_sql_four("version")} DESC, version) QUALIFY row_number() OVER w = 1)
+    SELECT m.page_id, s.latest AS version, seed.margin, m.anchored OR s.size > 1 AS strong FROM seed JOIN {_MEMBERS} m ON m.page_id = seed.page_id AND m.version = seed.version JOIN s ON s.page_id = m.page_id AND s.family = m.family WHERE s.size > 1 OR m.anchored"""
+)
 def seed_selection(spark, sf_dir):
     """Each page's version by the family of its best ranked candidate."""
     return families.selected_by_seed(_family_input(spark, sf_dir))
@@ -786,7 +805,10 @@ def button_links(spark, sf_dir):
     return arbitration.button_links(fixture.pages(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT page_id, html FROM @pages WHERE html LIKE '{%'), k AS (SELECT page_id, html, unnest(json_keys(html)) AS key FROM p)
+    SELECT page_id, key, json_extract_string(html, '$.' || key) AS value FROM k WHERE contains(lower(key), 'version') AND length(json_extract_string(html, '$.' || key)) <= 30"""
+)
 def state_versions(spark, sf_dir):
     rows = fixture.pages(spark, sf_dir).where("html like '{%'").select("page_id", F.col("html").alias("json"))
     return arbitration.state_versions(rows)
