@@ -184,3 +184,36 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(crc32_of(F.col("doc_id")), F.lit(7)) == 2, F.lit(False))
     found = scores(read(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _with_tails(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) of which a tenth, by the id's crc32, repeat a stretch of their words up to the end."""
+    from ._cluster import crc32_of
+
+    h = F.coalesce(crc32_of(F.col("doc_id")), F.lit(1))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - F.col("a")) / (3 + F.pmod(g, F.lit(8))))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+    tailed = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get("words", place(i).cast("int"))), " ")
+    own = docs.select("doc_id", "text", h.alias("h"))
+    own = own.withColumn("words", F.when((F.col("h") % 10 == 0), words)).withColumn("words", F.when(F.size("words") > 0, F.col("words")))
+    return own.withColumn("a", a).withColumn("p", p).select("doc_id", F.when(F.col("words").isNotNull(), tailed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of all documents, a tenth of which repeat a stretch of their words."""
+    from .periods import repeated_runs
+
+    found = repeated_runs(_with_tails(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    plain = F.array_join(F.filter(F.split(F.coalesce("doc.text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
+    found = found.select("*", longest.alias("longest"))
+    start, length, period = -F.col("longest.start"), F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc.doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", plain).cast("binary"), 256).alias("collapsed_sha256"),
+    )
