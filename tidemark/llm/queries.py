@@ -217,3 +217,40 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", plain).cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings in 40 clusters after five rounds of exact k-means."""
+    from .elkan import clustered, quantised
+
+    vectors = quantised(read(spark, sf_dir, "embeddings"), 64)
+    order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")).cast("binary"), 256)
+    found = clustered(vectors, 40, 5, order, 64)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
+def _elkan_sql(k: int, rounds: int, dims: int) -> str:
+    """One assignment after the other, of all vectors to all centroids."""
+    between = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda e: CAST(floor(least(greatest(256 * CAST(e AS DOUBLE), -134217728), 134217728)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k})
+)"""
+    ]
+    for t in range(rounds + 1):
+        steps.append(f"d{t} AS (SELECT r, j, {between} AS d FROM v, c{t}), a{t} AS MATERIALIZED (SELECT r, j, d FROM d{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, j) = 1)")
+        if t < rounds:
+            steps.append(f"""s{t} AS (SELECT j, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{t} JOIN v USING (r), range(1, {dims + 1}) AS q(i) GROUP BY j, i),
+c{t + 1} AS MATERIALIZED (SELECT j, coalesce(m.c, c{t}.c) AS c FROM c{t} LEFT JOIN (SELECT j, list(m ORDER BY i) AS c FROM s{t} GROUP BY j) m USING (j))""")
+    return f"""
+WITH {", ".join(steps)}, per AS (SELECT j, sum(d) AS own FROM a{rounds} GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(own AS BIGINT) AS cluster_inertia, CAST((SELECT sum(own) FROM per) AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} USING (j) JOIN per USING (j)
+"""
+
+
+ORACLE_SQL["op13_elkan_clusters"] = _elkan_sql(40, 5, 64)
