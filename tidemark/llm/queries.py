@@ -219,6 +219,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that are similar to 0.8 by their 5-word shingles."""
+    from .groups import joined
+
+    return joined(read(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_token_groups"] = ORACLE_SQL["op3_minhash_neardup"].replace("85 *", "80 *").replace(", d.doc_id = component_id AS kept", "")
+
+
 @query
 def op13_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings in 40 clusters after five rounds of exact k-means."""
