@@ -213,6 +213,25 @@ def test_plan():
         assert sum(n for _, n in best_fit(counts, capacity)) >= sum(n for _, n in found)
 
 
+def test_plan_ends():
+    """Searches end soon, whatever the counts, with every piece packed."""
+    import time
+
+    from tidemark.llm.packing import best_fit, lower_bound, plan
+
+    rng, began = random.Random(8), time.time()
+    cases = [{3: 35, 6: 47, 9: 64, 12: 41, 15: 36, 525: 4}, {i: 60 for i in range(1, 41)}, {i: 1000 for i in range(1, 1025)}, {1: 10**6}, {1: 5000, 2: 5000, 1023: 9}]
+    cases += [collections.Counter(rng.randint(low, high) for _ in range(n)) for low, high, n in ((171, 344, 400), (200, 500, 300), (300, 420, 90), (1, 30, 4000), (257, 513, 1000))]
+    for counts in cases:
+        used = collections.Counter()
+        found = plan(counts)
+        for own, n in found:
+            assert sum(own) <= 1024
+            used.update({s: n * k for s, k in collections.Counter(own).items()})
+        assert used == collections.Counter(counts) and lower_bound(counts, 1024) <= sum(n for _, n in found) <= sum(n for _, n in best_fit(counts, 1024))
+    assert time.time() - began < 60 and sum(n for _, n in plan(collections.Counter(cases[1]))) == 49
+
+
 def test_fillings():
     """Exactly the fillings that no other dominates, whatever may be inside them."""
     from tidemark.llm.packing import fillings

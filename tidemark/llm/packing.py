@@ -23,9 +23,26 @@ from ._bytes_bpe import Encoder
 from ._cluster import batches, bounded, table
 
 CAPACITY, END_ID = 1024, 2
-#: Bins filled in all branches of the search; a search that ends before is complete. It bounds
-#: the time of the plan and its quality, not what is packed.
-NODES = 4_000
+#: Steps of the search: fillings begun, members taken and sizes looked at, all branches together.
+#: A search that ends before is complete. It bounds the plan's time (a second or two) and its
+#: quality, not what is packed.
+STEPS = 400_000
+
+
+class _Ended(Exception):
+    """The search has used its steps."""
+
+
+class Steps:
+    """Steps that are left; taking one that isn't ends the search."""
+
+    def __init__(self, n: int):
+        self.left = n
+
+    def take(self, n: int) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise _Ended
 
 
 def default_tokenizer() -> str:
@@ -133,25 +150,27 @@ def _spread(bits: int, n: int) -> int:
     return bits
 
 
-def _dominated(own: tuple[int, ...], slack: int, spare: int) -> bool:
-    """Whether some of own, or none, could be changed for one larger size of spare (a bit for each) that still fits.
+def _larger(one: int, more: int, slack: int) -> int:
+    """Sizes (a bit each) that fit where a member stands, or none, if larger than it, or several, if no smaller than their sum.
 
-    Several for one of their sum also counts. Each dominating filling is reached by such
-    steps, so that none that passes is dominated by any.
+    one: sizes of members; more: sums of several. Each dominating filling is reached by such
+    exchanges, so that none with no such size to spare is dominated by any.
     """
-    one, more = 0, 0  # sums of one member, of several
-    for s in own:
-        more |= (one | more) << s
-        one |= 1 << s
-    larger = _spread(more, slack) | (_spread(one | 1, slack - 1) << 1 if slack else 0)
-    return bool(larger & spare)
+    return _spread(more, slack) | (_spread(one | 1, slack - 1) << 1 if slack else 0)
 
 
-def fillings(left: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
-    """All undominated ways to fill room with sizes of which left has some, by rising waste; larger members first."""
+def fillings(left: dict[int, int], room: int, steps: Steps | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill room with sizes of which left has some, by rising waste; larger members first.
+
+    A branch is left as soon as its members so far could be exchanged for a size that is
+    known to be spare, so that dominated fillings aren't walked one by one.
+    """
+    spend = steps.take if steps else lambda n: None
     sizes = sorted(s for s, n in left.items() if n and s <= room)
+    spend(1 + len(sizes))
     mask = (1 << room + 1) - 1
     reach = [1]  # sums of the smallest k sizes
+    below = [0]  # the smallest k sizes
     for s in sizes:
         bits, n, k = reach[-1], min(left[s], room // s), 1
         while n > 0:
@@ -160,44 +179,54 @@ def fillings(left: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
             n -= k
             k *= 2
         reach.append(bits)
-    available = sum(1 << s for s in sizes)
+        below.append(below[-1] | 1 << s)
 
-    def ways(at: int, total: int, own: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        """Those of the smallest at sizes; only what leads somewhere is tried."""
+    def ways(at: int, total: int, own: tuple[int, ...], one: int, more: int, spare: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """Those of the smallest at sizes; only what leads somewhere is tried. spare: larger sizes that are left."""
+        spend(1)
         if not total:
-            yield own
-        for j in range(at if total else 0, 0, -1):
+            if not _larger(one, more, waste) & (spare | below[at]):
+                yield own
+            return
+        for j in range(at, 0, -1):
             s = sizes[j - 1]
-            for k in range(min(left[s], total // s), 0, -1):
-                if reach[j - 1] >> total - k * s & 1:
-                    yield from ways(j - 1, total - k * s, own + (s,) * k)
+            skipped = spare | below[at] ^ below[j]
+            # with k of s, k rising: once larger sizes can be had for them, they can for more
+            begun = []
+            most, one_, more_ = min(left[s], total // s), one, more
+            for k in range(1, most + 1):
+                spend(1)
+                one_, more_ = one_ | 1 << s, (more_ | (one_ | more_) << s) & mask if one_ & 1 << s and k > 1 else (more_ | (one | more_) << s) & mask
+                larger = _larger(one_, more_, waste)
+                if larger & skipped:
+                    break
+                still = skipped | (1 << s) * (k < left[s])
+                if not larger & still and reach[j - 1] >> total - k * s & 1:
+                    begun.append((k, one_, more_, still))
+            for k, one_k, more_k, still in reversed(begun):
+                yield from ways(j - 1, total - k * s, own + (s,) * k, one_k, more_k, still, waste)
             if not reach[j - 1] >> total & 1:
                 return
 
     for waste in range(room + 1):
         if reach[-1] >> room - waste & 1:
-            for own in ways(len(sizes), room - waste, ()):
-                spare = available
-                for s in set(own):
-                    if own.count(s) == left[s]:
-                        spare &= ~(1 << s)
-                if not _dominated(own, waste, spare):
-                    yield own
+            yield from ways(len(sizes), room - waste, (), 0, 0, 0, waste)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
     """(sizes, bins) patterns that use exactly counts, in as few bins as were found.
 
     Best-fit packing is the first solution. A node of the search is a filling of the bin of
     the largest size left, in as many equal bins as there can be, or fewer on backtracking.
     The search ends where a solution meets the lower bound, where all branches are cut, or
-    after so many nodes; only then may the plan be other than the best there is.
+    after so many steps; only then may the plan be other than the best there is.
     """
+    budget = Steps(steps)
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, capacity)
     best_bins, least = sum(n for _, n in best), lower_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
-    left, path, waste, spent = dict(counts), [], 0, 0
+    left, path, waste = dict(counts), [], 0
 
     def take(own: tuple[int, ...], n: int) -> None:
         nonlocal waste
@@ -212,7 +241,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         first = max(left)
         rest = dict(left)
         rest[first] -= 1
-        for own in fillings(rest, capacity - first):
+        for own in fillings(rest, capacity - first, budget):
             own = (first, *own)
             lost = capacity - sum(own)
             n = min(left[s] // own.count(s) for s in set(own))
@@ -223,15 +252,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
             yield from ((own, k) for k in range(n, 0, -1))
 
     stack = [choices()]
-    while stack and spent < nodes and best_bins > least:
+    while stack and best_bins > least:
         if len(path) == len(stack):
             own, n = path.pop()
             take(own, -n)
-        step = next(stack[-1], None)
+        try:
+            step = next(stack[-1], None)
+            # the members are counted up and down
+            budget.take(1 + 2 * len(step[0]) if step else 1)
+        except _Ended:
+            break
         if step is None:
             stack.pop()
             continue
-        spent += 1
         # the best may have become better since
         if waste + step[1] * (capacity - sum(step[0])) > (best_bins - 1) * capacity - total:
             continue
