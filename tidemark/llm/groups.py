@@ -181,9 +181,16 @@ def _grouped(sets: DataFrame, nth: int, percent: int) -> DataFrame:
     return table(batches(dealt, run, "g long, members array<long>, sizes array<int>, sets binary, union binary, links array<struct<a:long,b:long>>"))
 
 
-def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(m, c): each id's component."""
-    return ids.join(components(links).withColumnRenamed("id", "m"), "m", "left").select("m", F.coalesce("label", "m").alias("c"))
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (m, c), a table, with the components that links (a, b; of labels) lead to: each label's smallest."""
+    new = components(links).where("id <> label").select(F.col("id").alias("c"), F.col("label").alias("to"))
+    return table(labels.join(bounded(table(new), 16), "c", "left").select("m", F.coalesce("to", "c").alias("c")))
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) of sets as links of their components, each once."""
+    of = lambda x: labels.select(F.col("m").alias(x), F.col("c").alias(f"c{x}"))
+    return table(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
 
 
 def _first_shingles(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -211,17 +218,37 @@ def _first_shingles(sets: DataFrame, known: DataFrame, percent: int) -> DataFram
     return out
 
 
-def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
-    """(m, c, g): pairs of a set and a group of which the first shingles allow for a link to a larger component."""
-    index = rows.groupBy("key", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("room"), F.max("w").alias("most"))
-    asks = rows.select("key", "m", "n", "c", "w", "at")
+def _allows(percent: int) -> Column:
+    """Whether a set of n, of which a shingle has the place at, can be similar to one of lo to hi shingles with at most room behind that shingle."""
     n, p = F.col("n"), F.lit(percent)
     sizes = (100 * n >= p * F.col("lo")) & (100 * F.col("hi") >= p * n)
     # common members of sets of n and of the smallest size that can be similar
     smallest = F.greatest(F.col("lo"), _least_of(n, percent))
     common = F.ceil(p * (n + smallest) / (100 + percent))
-    room = 1 + F.least(n - F.col("at"), F.col("room")) >= common
-    return asks.join(index, "key").where((F.col("most") > F.col("w")) & sizes & room).select("m", "c", "g").distinct()
+    return sizes & (1 + F.least(n - F.col("at"), F.col("room")) >= common)
+
+
+def _likeliest(rows: DataFrame, percent: int) -> DataFrame:
+    """(m, c, g): for each set and each larger component that its first shingles allow, one group, by most shingles: the one to ask first."""
+    n, at = F.col("n"), F.col("at")
+    index = rows.groupBy("key", F.col("c").alias("of"), "w").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(n - at).alias("room"), F.min("g").alias("g")).withColumnRenamed("w", "most")
+    found = rows.select("key", "m", "n", "c", "w", "at").join(index, "key").where((F.col("most") > F.col("w")) & _allows(percent))
+    times = found.groupBy("m", "c", "of", "g").agg(F.count("*").alias("times"))
+    return times.groupBy("m", "c", "of").agg(F.max_by("g", F.struct("times", "g")).alias("g")).select("m", "c", "g")
+
+
+def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
+    """(m, c, g): all pairs of a set and a group of which the first shingles allow for a link to a larger component."""
+    index = rows.groupBy("key", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("room"), F.max("w").alias("most"))
+    found = rows.select("key", "m", "n", "c", "w", "at").join(index, "key")
+    return found.where((F.col("most") > F.col("w")) & _allows(percent)).select("m", "c", "g").distinct()
+
+
+def _known(labels: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """A table of m, n, c, g and w, by which components stand in an order, larger ones later."""
+    size = table(labels.groupBy("c").agg(F.count("*").alias("of")))
+    of = groups.select("g", F.explode("members").alias("m"))
+    return table(keyed(labels, size, "c", "of").join(of, "m").join(sets.select("m", "n"), "m").select("m", "n", "c", "g", F.struct("of", "c").alias("w")))
 
 
 def _rows_of(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -296,29 +323,36 @@ def joined(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHING
     sets = table(found.dropDuplicates(["m"]) if repeated else found)
     ids = ids.select("m")
     groups = _grouped(sets, 0, percent)
-    links = _links_of(groups)
-    labels = table(_labelled(ids, links))
+    labels = table(ids.withColumn("c", F.col("m")))
+    labels = _merged(labels, _links_of(groups))
     left, nth = ids.count(), 1
     while nth < ROUNDS:
-        now = labels.where("m = c").count()
+        # one set of each component
+        lead = table(labels.where("m = c").select("m"))
+        now = lead.count()
         if nth > 1 and left - now <= WORTH * left:
             break
-        # one set of each component
-        more = _grouped(sets.join(bounded(table(labels.where("m = c").select("m")), 8), "m", "left_semi"), nth, percent)
-        links = table(links.unionByName(_links_of(more)))
+        more = _grouped(sets.join(bounded(lead, 8), "m", "left_semi"), nth, percent)
+        labels, left, nth = _merged(labels, _links_of(more)), now, nth + 1
         spent(more)
-        labels, left, nth = table(_labelled(ids, links)), now, nth + 1
-    # w: by it components stand in an order, larger ones later
-    size = table(labels.groupBy("c").agg(F.count("*").alias("of")))
-    of = groups.select("g", F.explode("members").alias("m"))
-    known = table(keyed(labels, size, "c", "of").join(of, "m").join(sets.select("m", "n"), "m").select("m", "n", "c", "g", F.struct("of", "c").alias("w")))
-    pairs = table(_qualifying(_first_shingles(sets, known, percent), percent))
-    pairs = table(_bounded_overlap(pairs, sets, groups, percent))
-    links = links.unionByName(table(_opened(pairs, sets, groups, known, percent)))
+    known = _known(labels, groups, sets)
+    rows = _first_shingles(sets, known, percent)
+    # most links are found by one question to each component; the others need asking only if they still are
+    for asked in (_likeliest, _qualifying):
+        pairs = table(_bounded_overlap(table(asked(rows, percent)), sets, groups, percent))
+        links = _between(table(_opened(pairs, sets, groups, known, percent)), labels)
+        if links.limit(1).count():
+            labels = _merged(labels, links)
+            if asked is _likeliest:
+                known = _known(labels, groups, sets)
+                rows = table(rows.select("key", "m", "at").join(bounded(known, 56), "m"))
     if repeated:
+        # sets of one id, those without a similar set too
         same = some.join(repeats, "doc_id", "left_semi").select("doc_id", "fp1", "fp2").distinct().join(reps.select("fp1", "fp2", "m"), ["fp1", "fp2"])
-        links = links.unionByName(same.select(F.col("m").alias("a"), F.min("m").over(Window.partitionBy("doc_id")).alias("b")).where("a <> b"))
-    labels = table(components(links).select(F.col("id").alias("m"), F.col("label").alias("c")))
+        same = table(same.select(F.col("m").alias("a"), F.min("m").over(Window.partitionBy("doc_id")).alias("b")).where("a <> b"))
+        alone = same.select(F.explode(F.array("a", "b")).alias("m")).distinct().join(ids, "m", "left_anti")
+        labels = table(labels.unionByName(alone.withColumn("c", F.col("m"))))
+        labels = _merged(labels, _between(same, labels))
     spent(sets, groups)
     # the smallest doc_id of each component of several sets
     low = labels.join(reps.select("m", "doc_id"), "m")
