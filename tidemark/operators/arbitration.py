@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import versions as V
+from .asking import SECONDS, WINDOW, Ask
+from .asking import asked as calls
 from .candidates import SCOPES
 
 #: The margin under which a choice is close; candidates shown; characters of a context.
@@ -28,28 +31,21 @@ def prompts(seeds: DataFrame, candidates: DataFrame, products: DataFrame) -> Dat
     return one.select("page_id", F.concat(F.lit("Which of these is the current version of "), "product", F.lit("? Answer with the version only.\n"), "lines").alias("prompt"))
 
 
-def answered(asked: DataFrame, ask: Callable[[str], str | None] | None) -> DataFrame:
-    """(page_id, answer): versions of two numbers or more in the answers of ask; none without one, or where it fails."""
-    if ask is None:
-        return asked.select("page_id", F.lit(None).cast("string").alias("answer"))
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for p in b["prompt"]:
-                try:
-                    out.append(ask(p))
-                except Exception:  # one failed call isn't the job's failure
-                    out.append(None)
-            yield pd.DataFrame({"page_id": b["page_id"], "raw": pd.Series(out, dtype=object)})
+def answered(asked: DataFrame, ask: Ask | Sequence[Ask] | None, window: int = WINDOW, seconds: float = SECONDS, tasks: int | None = None) -> DataFrame:
+    """(page_id, answer, error): versions of two numbers or more in the answers of ask; none without one, or where it fails.
 
-    raw = asked.mapInPandas(run, "page_id long, raw string")
-    return raw.select("page_id", T.answer_version(F.coalesce("raw", F.lit(""))).alias("answer"))
+    Several functions are asked one after the other, until one names a version; window,
+    seconds and tasks as for asking.asked().
+    """
+    if ask is None:
+        return asked.select("page_id", F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"))
+    raw = calls(asked, ask, "prompt", window, seconds, tasks, lambda x: bool(re.search(r"[0-9]+\.[0-9]", x)))
+    return raw.select("page_id", T.answer_version(F.coalesce("answer", F.lit(""))).alias("answer"), "error")
 
 
 def settled(selected: DataFrame, answers: DataFrame) -> DataFrame:
     """selected (page_id, version, margin) with answers in place of close choices, and confidence."""
-    rows = selected.join(answers, "page_id", "left")
+    rows = selected.join(answers.select("page_id", "answer"), "page_id", "left")
     sure: Column = (F.col("margin") >= CLOSE) | F.col("answer").isNotNull()
     return rows.select("page_id", F.coalesce("answer", "version").alias("version"), "margin", F.when(sure, "high").otherwise("low").alias("confidence"))
 

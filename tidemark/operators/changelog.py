@@ -102,15 +102,6 @@ def container_text(html: Column) -> Column:
     return F.when((place > 0) & (F.length(found) > 80), found)
 
 
-def detail_links(html: Column, target: Column) -> Column:
-    """Links of "read more" kind after the note that the target has come out."""
-    quoted = F.regexp_replace(V.bare(target), r"([.+*?^$(){}|\[\]\\])", r"\\$1")
-    card = F.regexp_substr(html, F.concat(F.lit(r"(?is)Updated\s+to\s+v?"), quoted, F.lit(r"""(?:[-+][0-9A-Za-z.-]+)?\s+on.*?(?=<div class="u-mb-16|\z)""")))
-    links = F.regexp_extract_all(F.coalesce(card, F.lit("")), F.lit(r"(?is)<a[^>]+href=[^>]+>.*?</a>"), 0)
-    kept = F.filter(links, lambda a: T.clean_text(a).rlike("(?i)read more|release notes|更新|详情"))
-    return F.transform(kept, lambda a: F.regexp_extract(a, r"""(?i)href=["']?([^"'\s>]+)""", 1))
-
-
 def changelogs(pages: DataFrame) -> DataFrame:
     """(page_id, version, content, language, kind, confidence): the best changelog text of each page, or none.
 

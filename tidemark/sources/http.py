@@ -9,6 +9,7 @@ its error, never an exception; URLs of private hosts aren't fetched.
 
 from __future__ import annotations
 
+import http.client
 import json
 import socket
 import time
@@ -47,6 +48,45 @@ def allowed(url: str, addresses=_addresses) -> bool:
         return all(ipaddress.ip_address(x.partition("%")[0]).is_global for x in addresses(host))
 
 
+def _connected(address: tuple[str, int], timeout: float | None = None, source: tuple | None = None) -> socket.socket:
+    """A connection to the very address that was checked: a name isn't resolved twice."""
+    import ipaddress
+
+    host, port = address
+    found = _addresses(host)
+    if not found or not all(ipaddress.ip_address(x.partition("%")[0]).is_global for x in found):
+        raise OSError(f"no address of {host} is allowed" if found else f"{host} isn't known")
+    error = None
+    for ip in found:
+        try:
+            return socket.create_connection((ip, port), timeout, source)
+        except OSError as e:
+            error = e
+    raise error
+
+
+class _Plain(http.client.HTTPConnection):
+    def __init__(self, *args, **named):
+        super().__init__(*args, **named)
+        self._create_connection = _connected
+
+
+class _Secure(http.client.HTTPSConnection):
+    def __init__(self, *args, **named):
+        super().__init__(*args, **named)
+        self._create_connection = _connected
+
+
+class _PlainHandler(urllib.request.HTTPHandler):
+    def http_open(self, req):
+        return self.do_open(_Plain, req)
+
+
+class _SecureHandler(urllib.request.HTTPSHandler):
+    def https_open(self, req):
+        return self.do_open(_Secure, req, context=self._context)
+
+
 class _Checked(urllib.request.HTTPRedirectHandler):
     """Redirects are followed only to where a request may go."""
 
@@ -57,12 +97,12 @@ class _Checked(urllib.request.HTTPRedirectHandler):
 
 
 def _open(request: urllib.request.Request, timeout: float):
-    return urllib.request.build_opener(_Checked).open(request, timeout=timeout)
+    return urllib.request.build_opener(_Checked, _PlainHandler, _SecureHandler).open(request, timeout=timeout)
 
 
-def fetch(url: str, timeout: float = 15, attempts: int = 3, wait: float = 1, opener=_open) -> tuple[int, str, str | None]:
+def fetch(url: str, timeout: float = 15, attempts: int = 3, wait: float = 1, opener=_open, check=allowed) -> tuple[int, str, str | None]:
     """(status, text, error) of one page; waits 1, 2, 4 ... seconds between attempts."""
-    if not allowed(url):
+    if not check(url):
         return 0, "", "url not allowed"
     error = None
     for k in range(attempts):
@@ -73,8 +113,8 @@ def fetch(url: str, timeout: float = 15, attempts: int = 3, wait: float = 1, ope
                 return r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), None
         except urllib.error.HTTPError as e:
             return e.code, "", str(e)
-        except (OSError, ValueError) as e:
-            error = str(e)
+        except (OSError, ValueError, http.client.HTTPException) as e:
+            error = str(e) or type(e).__name__
     return 0, "", error
 
 
