@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import versions as V
@@ -151,7 +152,8 @@ def by_source(pages: DataFrame, published: DataFrame, items: DataFrame) -> DataF
     items: those of feeds, as their readers give them. A repository has its newest
     release, a feed its item. A page has the first of: the target's section of the main
     text as Markdown, its first section with a version, the whole main text, the linked
-    page, the page by its markup if good, as rendered, and by its markup at all.
+    page, the page by its markup if good, the block of the rendered page that holds the
+    target (the whole page if none does), and the page by its markup at all.
     """
     none = F.lit(None).cast("string")
     out = pages.where("type = 'github-releases'").join(releases(published), "repo").select("page_id", F.lit(1).alias("attempt"), "version", "content")
@@ -169,8 +171,10 @@ def by_source(pages: DataFrame, published: DataFrame, items: DataFrame) -> DataF
     out = out.unionByName(named.where("length(content) > 20").select("page_id", F.lit(6).alias("attempt"), "version", "content"))
     inline = written(changelogs(page.where("html is not null").select("page_id", "target", "html")))
     out = out.unionByName(inline.where((F.length("content") > 300) & T.good_changelog(F.col("content"))).select("page_id", F.lit(7).alias("attempt"), "version", "content"))
-    shown = changelogs(page.where("rendered is not null").select("page_id", "target", F.col("rendered").alias("html")))
-    out = out.unionByName(shown.where("length(content) > 20").select("page_id", F.lit(8).alias("attempt"), "version", "content"))
+    shown = B.located(page.where("rendered is not null").select("page_id", "target", "rendered"))
+    said = F.regexp_extract(F.coalesce("block.title", F.lit("")), r"v?(\d+(?:\.\d+){1,3})", 1)
+    shown = shown.select("page_id", F.coalesce("target", F.nullif(said, F.lit(""))).alias("named"), H.main_text(F.coalesce("block.html", "rendered")).alias("content")).where("named rlike '[0-9]'")
+    out = out.unionByName(shown.where("length(content) >= 20").select("page_id", F.lit(8).alias("attempt"), V.canonical(F.col("named")).alias("version"), T.tidy(F.col("content")).alias("content")))
     out = out.unionByName(inline.where("length(content) > 150").select("page_id", F.lit(9).alias("attempt"), "version", "content"))
     best = out.groupBy("page_id").agg(F.min_by(F.struct("attempt", "version", "content"), "attempt").alias("x")).select("page_id", "x.attempt", "x.version", "x.content")
     return best.withColumn("language", T.language(F.col("content"))).withColumn("confidence", F.when(F.col("attempt").isin(6, 8), "medium").otherwise("high"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import versions as V
 from .candidates import sequences
+from .mentions import mentions
 
 #: Filter features, in the order a model takes them.
 FILTER_COLUMNS = "has_v is_clean is_short_major is_yearish major minor n_digits_total n_seg patch scope_dl scope_heading scope_noise scope_structured scope_visible".split()
@@ -83,27 +84,29 @@ def rank_features(scored: DataFrame, candidates: DataFrame, pages: DataFrame) ->
     if "paths" not in candidates.columns:
         candidates = candidates.withColumn("paths", F.array().cast("array<string>"))
     series = sequences(pages)
+    quoted = lambda c: F.regexp_replace(c, r"([\\.*+?^${}()|\[\]])", r"\\$1")
+    html, product = F.coalesce("html", F.lit("")), F.coalesce("product", F.lit(""))
+    name = F.concat(F.lit("(?i)"), quoted(F.col("product")), F.lit(r"[\s-]*v?"))
+    hits = F.regexp_extract_all("html", F.concat(name, F.lit(r"(\d+(?:\.\d+){1,3})")), F.lit(1))
+    # what is the page's, once for each page
+    texts = pages.select("page_id", html.alias("html"), product.alias("product"))
+    own = texts.select("page_id", "product", F.length("html").alias("size"), T.title(F.col("html")).alias("title"), page_kind(F.col("html")).alias("kind"), F.when(F.col("product") != "", hits).alias("hits"))
     rows = scored.select("page_id", "version", "prob").join(candidates, ["page_id", "version"], "left")
     rows = rows.withColumns({"scopes": F.coalesce("scopes", F.array().cast("array<string>")), "paths": F.coalesce("paths", F.array().cast("array<string>"))})
     rows = within_page(version_features(rows, F.col("scopes")))
     rows = rows.join(path_shares(candidates).withColumnsRenamed({"path": "main_path", "n": "main_n"}), ["page_id", "major"], "left")
-    rows = rows.join(series, "page_id", "left").join(pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.coalesce("product", F.lit("")).alias("product")), "page_id")
-    quoted = lambda c: F.regexp_replace(c, r"([\\.*+?^${}()|\[\]])", r"\\$1")
-    bare = V.bare(F.col("version"))
-    first = F.expr("locate(lower(regexp_replace(version, '^[vV]', '')), lower(html))")
-    known = F.col("product") != ""
-    name = F.concat(F.lit("(?i)"), quoted(F.col("product")), F.lit(r"[\s-]*v?"))
-    hits = F.regexp_extract_all("html", F.concat(name, F.lit(r"(\d+(?:\.\d+){1,3})")), F.lit(1))
+    rows = rows.join(series, "page_id", "left").join(own, "page_id").join(mentions(texts, scored).select("page_id", "version", "bounded", "first"), ["page_id", "version"])
+    bare, known = V.bare(F.col("version")), F.col("product") != ""
     on_path = F.coalesce(F.array_contains("paths", F.col("main_path")), F.lit(False))
-    kind = page_kind(F.col("html"))
+    kind = F.col("kind")
     return rows.select(
         "page_id", "version", "prob",
         *[F.col(c) for c in RANK_COLUMNS[1:21]],
-        F.regexp_count("html", F.concat(F.lit("(?i)(?<![0-9.])"), quoted(bare), F.lit("(?![0-9.])"))).alias("occurrence_count"),
-        F.when(first > 0, (first - 1) / F.greatest(F.length("html"), F.lit(1))).otherwise(1.0).alias("first_position_pct"),
+        F.col("bounded").alias("occurrence_count"),
+        F.when(F.col("first") >= 0, F.col("first") / F.greatest("size", F.lit(1))).otherwise(1.0).alias("first_position_pct"),
         F.size(F.coalesce("contexts", F.array())).alias("scope_count"), F.size("scopes").alias("independent_scope_count"),
-        (known & F.exists(hits, lambda h: V.matches(F.col("version"), h))).cast("int").alias("product_anchor"),
-        (known & F.regexp_like(T.title(F.col("html")), F.concat(name, quoted(bare)))).cast("int").alias("title_product_anchor"),
+        (known & F.exists("hits", lambda h: V.matches(F.col("version"), h))).cast("int").alias("product_anchor"),
+        (known & F.regexp_like("title", F.concat(name, quoted(bare)))).cast("int").alias("title_product_anchor"),
         (known & F.coalesce(F.exists("contexts", lambda x: F.regexp_like(x["text"], F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), quoted(F.col("product")), F.lit("(?![A-Za-z0-9_])")))), F.lit(False))).cast("int").alias("product_name_present"),
         on_path.cast("int").alias("same_major_path_match"), F.when(on_path, F.col("main_n") / F.col("same_major_count")).otherwise(0.0).alias("same_major_path_share"),
         "same_major_minor_count",

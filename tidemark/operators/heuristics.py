@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import versions as V
 from .candidates import occurrences, sequences
+from .mentions import mentions
 
 #: Weights of scopes and patterns.
 SCOPE_WEIGHT = {"title": 3, "structured": 3, "body": 2, "url": 2, "heading": 2, "changelog-header": 8, "changelog-url": 14}
@@ -32,19 +33,16 @@ def scored(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
         series = sequences(pages).select("page_id", F.lit(10_000_000_000).alias("ord"), F.col("latest").alias("version"), F.lit("major").alias("pattern"), F.lit("heading").alias("scope"))
         found = occurrences(pages).unionByName(series)
     html = F.coalesce(F.col("html"), F.lit(""))
-    page = pages.select("page_id", html.alias("html"), T.links(html).alias("links"), F.concat_ws("\n", T.title(html), T.meta_text(html), T.body_text(html)).alias("seen"))
+    links = T.links(html)
+    page = pages.select("page_id", html.alias("html"), F.array_join(links, "\n").alias("links"), F.array_join(F.filter(links, V.download_url), "\n").alias("downloads"), F.concat_ws("\n", T.title(html), T.meta_text(html), T.body_text(html)).alias("seen"))
     first = F.struct("ord")
     per = found.groupBy("page_id", "version").agg(
         F.min_by("scope", first).alias("scope"), F.min_by("pattern", first).alias("pattern"), F.min("ord").alias("ord"),
         F.count("*").alias("n"), F.count_if(F.col("scope") == "structured").alias("n_structured"), F.count_distinct("scope").alias("n_scopes"),
     )
-    bare = V.bare(F.col("version"))
-    rows = per.join(page, "page_id").withColumn("bare", bare)
-    in_links = F.exists("links", lambda u: F.contains(u, F.col("bare")))
-    rows = rows.withColumn("in_download", F.exists(F.filter("links", V.download_url), lambda u: F.contains(u, F.col("bare"))))
-    times = F.size(F.split("html", F.regexp_replace("bare", r"([.+])", r"\\$1"), -1)) - 1
-    score = F.col("n") * (F.when(in_links, 2).otherwise(0) + F.when(F.col("in_download"), 4).otherwise(0)) + _weight("scope", SCOPE_WEIGHT) + _weight("pattern", PATTERN_WEIGHT) + 3 * F.col("n_structured") + 2 * (F.col("n_scopes") - 1) + F.least(times, F.lit(5))
-    return rows.select("page_id", "version", score.cast("long").alias("score"), "scope", "pattern", "in_download", F.contains("seen", F.col("bare")).alias("in_text"), "ord")
+    rows = per.join(mentions(page, per), ["page_id", "version"])
+    score = F.col("n") * (F.when(F.col("in_links"), 2).otherwise(0) + F.when(F.col("in_downloads"), 4).otherwise(0)) + _weight("scope", SCOPE_WEIGHT) + _weight("pattern", PATTERN_WEIGHT) + 3 * F.col("n_structured") + 2 * (F.col("n_scopes") - 1) + F.least("times", F.lit(5))
+    return rows.select("page_id", "version", score.cast("long").alias("score"), "scope", "pattern", F.col("in_downloads").alias("in_download"), F.col("in_seen").alias("in_text"), "ord")
 
 
 def picked(scores: DataFrame) -> DataFrame:
