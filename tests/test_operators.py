@@ -98,10 +98,10 @@ def test_html():
 
 
 def test_stream(spark, tmp_path):
-    from tidemark.streaming.audit import keep_audit, page_stream
+    from tidemark.streaming.audit import audit_table, keep_audit, page_stream
 
     rows = [(1, "u", "<title>tool 1.0.0</title>", "2026-01-01 00:00:00"), (2, "u", "<title>tool 2.0.0</title>", "2026-01-02 00:00:00"), (3, "w", None, "2026-01-01 00:00:00")]
     spark.createDataFrame(rows, "page_id long, url string, html string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
     q = keep_audit(page_stream(spark, str(tmp_path / "in")), str(tmp_path / "audit"), str(tmp_path / "state"))
     q.awaitTermination(120)
-    assert {(r.url, r.version) for r in spark.read.parquet(str(tmp_path / "audit" / "0")).collect()} == {("u", "v2.0.0"), ("w", None)}
+    assert {(r.url, r.version) for r in audit_table(spark, str(tmp_path / "audit")).collect()} == {("u", "v2.0.0"), ("w", None)}
