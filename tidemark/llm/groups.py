@@ -8,8 +8,8 @@ their members compared in full.
 1. Texts with equal sets are one. Sets of which too few of the smallest shingle hashes
    occur in another set are similar to none and go no further.
 2. The others are ordered by a minhash and cut into groups of at most ``GROUP`` sets that
-   share it. In a group sets are compared with its first ones only: that makes most links
-   of large groups of copies. Further rounds do the same to one set of each component,
+   share it. A set is compared, until one is similar, with those that most sets of this
+   minhash were like and with its own group: that makes most links of large groups of copies. Further rounds do the same to one set of each component,
    with other minhashes, while that joins many.
 3. What remains are links between components. Shingles that only one component has can't
    make any. By rising frequency of the others, one of the first n - ceil(s * n) + 1 of a
@@ -37,7 +37,7 @@ from ._text import U, mix, splitmix, windows, word_runs
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sets and shingles of a group; one larger set makes a group of its own.
 GROUP, GROUP_SHINGLES = 64, 1 << 17
-#: Sets of a group that a new one is compared with at most, in step 2.
+#: Sets of a minhash's earlier groups that a new one is compared with, in step 2.
 FIRST = 8
 #: Minhashes to order by: a round each.
 ROUNDS = 6
@@ -163,12 +163,18 @@ def _grouped(sets: DataFrame, nth: int, percent: int) -> DataFrame:
                     total, members, own, links = 0, [], [], []
                 if k != key:
                     key, first = k, []
-                # the first ones of a minhash's earlier groups are asked too
-                link = next(((a, m) for a, y in first if _similar(x, y, percent)), None)
-                if link:
-                    links.append(link)
+                # those that most of this minhash's sets were like, in earlier groups too, then the group's others
+                like = next((one for one in first if _similar(x, one[2], percent)), None)
+                if like:
+                    like[0] += 1
+                    links.append((like[1], m))
+                    first.sort(key=lambda one: -one[0])
                 else:
-                    first = [*first, (m, x)][-FIRST:]
+                    other = next((k for k in range(len(own) - 1, -1, -1) if _similar(x, own[k], percent)), None)
+                    if other is not None:
+                        links.append((members[other], m))
+                    # a new one takes the place of the one that fewest were like
+                    first = [*first[: FIRST - 1], [int(other is not None), m, x]]
                 members.append(m)
                 own.append(x)
                 total += n
