@@ -13,9 +13,11 @@ are personal data too, of kind ``id``.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,10 @@ from ._cluster import batches, bounded, table
 KINDS = ("email", "ip", "card", "phone", "id")
 #: A pattern needs so many different known values; a candidate this score.
 MIN_SEEDS, MIN_SCORE = 5, 0.6
-#: Patterns that are looked for in one pass over the texts.
-PASS = 200_000
+#: Patterns that tasks get as they are; of more, they get a filter of so many bits.
+HELD, FILTER_BITS = 200_000, 1 << 25
+#: Patterns that a task counts before it hands them on.
+COUNTED = 100_000
 #: Characters to either side that are looked at first for context words; more, if they don't hold those whole.
 CONTEXT = 80
 
@@ -163,8 +167,8 @@ def _found(docs: DataFrame, keep: bool) -> DataFrame:
     return table(batches(rows, run, schema).withColumn("uid", F.monotonically_increasing_id()))
 
 
-def others(text: str, patterns: frozenset[str]) -> Iterator[str]:
-    """Those of the patterns around each word of the text that isn't in a seed or candidate."""
+def others(text: str, wanted: Callable[[str], bool]) -> Iterator[str]:
+    """Those of the patterns around each word of the text that isn't in a seed or candidate, as far as they are wanted."""
     base = base_spans(text)
     held = [(a, b) for _, a, b in base]
     if _DIGIT.search(text):
@@ -180,31 +184,70 @@ def others(text: str, patterns: frozenset[str]) -> Iterator[str]:
     n = len(words)
     pairs = [f"{x} {y}" for x, y in zip(words, words[1:], strict=False)]
     for k, x in enumerate(pairs):
-        if k + 2 < n and free[k + 2] and (one := f"L {x}") in patterns:
+        if k + 2 < n and free[k + 2] and wanted(one := f"L {x}"):
             yield one
-        if k and free[k - 1] and (one := f"R {x}") in patterns:
+        if k and free[k - 1] and wanted(one := f"R {x}"):
             yield one
     for k, (x, y) in enumerate(zip(words, words[2:], strict=False)):
-        if free[k + 1] and (one := f"B {x} {y}") in patterns:
+        if free[k + 1] and wanted(one := f"B {x} {y}"):
             yield one
 
 
+def _places(pattern: Column) -> list[Column]:
+    """Two bits of the filter for a pattern."""
+    h = F.crc32(pattern.cast("binary"))
+    return [F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(h * F.lit(1640531527), 7), F.lit(FILTER_BITS))]
+
+
+class _Filter:
+    """Whether a pattern may be one of those that set the bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.bits = words.tobytes()
+
+    def __call__(self, pattern: str) -> bool:
+        h = zlib.crc32(pattern.encode())
+        a, b = h % FILTER_BITS, h * 1640531527 >> 7
+        b %= FILTER_BITS
+        return bool(self.bits[a >> 3] >> (a & 7) & 1 and self.bits[b >> 3] >> (b & 7) & 1)
+
+
+def _filter(patterns: DataFrame) -> _Filter:
+    """The filter of a table of patterns; what the driver gets is its bits, however many patterns there are."""
+    at = patterns.select(F.explode(F.array(*_places(F.col("pattern")))).alias("at"))
+    rows = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return _Filter(words)
+
+
 def _others(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, n): how often other words stand in the patterns (a table); PASS patterns at a time."""
-    parts = -(-patterns.count() // PASS)
-    counted = docs.sparkSession.createDataFrame([], "pattern string, n long")
-    for part in range(parts):
-        some = frozenset(r[0] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect())
-
-        def run(it: Iterator[pa.RecordBatch], some: frozenset[str] = some) -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                seen: Counter[str] = Counter()
-                for text in batch.column(0):
-                    seen.update(others(text.as_py() or "", some))
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
-
-        counted = counted.unionByName(table(batches(docs.select("text"), run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))))
-    return counted
+    """(pattern, n): how often other words stand in the patterns (a table), in one pass over the texts.
+
+    Few patterns are held by each task. Of more, a task lets through what a filter of fixed
+    size doesn't rule out; the join with the patterns then drops the rest.
+    """
+    many = patterns.count() > HELD
+    # at most HELD short strings, or FILTER_BITS
+    known = _filter(patterns) if many else frozenset(r[0] for r in patterns.collect())
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(seen: Counter[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+
+        wanted = shared.value if many else shared.value.__contains__
+        seen: Counter[str] = Counter()
+        for batch in it:
+            for text in batch.column(0):
+                seen.update(others(text.as_py() or "", wanted))
+                if len(seen) >= COUNTED:
+                    yield out(seen)
+                    seen = Counter()
+        yield out(seen)
+
+    counted = batches(docs.select("text"), run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return table(counted.join(patterns, "pattern", "left_semi") if many else counted)
 
 
 def scores(edges: DataFrame, docs: DataFrame) -> DataFrame:
