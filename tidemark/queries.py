@@ -833,4 +833,4 @@ def registry_matches(spark, sf_dir):
     return registries.matched_entries(requests, entries).select("request_id", "token", F.col("version").alias("v")).distinct()
 
 
-from . import queries_jobs  # noqa: E402, F401  registers its own
+from . import queries_jobs, queries_pages  # noqa: E402, F401  register their own
