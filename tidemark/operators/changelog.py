@@ -135,12 +135,16 @@ def releases(rows: DataFrame) -> DataFrame:
 
 
 def feed_items(items: DataFrame) -> DataFrame:
-    """(feed, version, title, content): the first item that names the feed's target, else the first. items: feed, ord, target, title, content."""
+    """(feed, version, title, content): the first item that names the feed's target, else the first; content in HTML as Markdown. items: feed, ord, target, title, content."""
     said = F.concat_ws(" ", "title", "content")
     hit = F.coalesce(F.contains(said, V.bare(F.col("target"))), F.lit(False))
     one = items.withColumn("k", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc(hit), "ord"))).where("k = 1 and content <> ''")
     found = F.nullif(F.regexp_extract("title", r"\d+\.\d+(?:\.\d+)?", 0), F.lit(""))
-    return one.select("feed", V.canonical(F.coalesce("target", found, F.lit("0.0.0"))).alias("version"), "title", T.tidy(F.col("content")).alias("content"))
+    # only markup goes through Python, and one item of a feed
+    marked = F.col("content").rlike(r"</?[a-zA-Z][^>]*>|&[a-z#0-9]+;")
+    one = one.withColumn("markdown", H.markdown(F.when(marked, F.col("content"))))
+    content = F.when(marked, F.col("markdown")).otherwise(F.col("content"))
+    return one.select("feed", V.canonical(F.coalesce("target", found, F.lit("0.0.0"))).alias("version"), "title", T.tidy(content).alias("content"))
 
 
 def by_source(pages: DataFrame, published: DataFrame, items: DataFrame) -> DataFrame:

@@ -256,14 +256,15 @@ def feed_items(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey AS feed, 'v7.' || CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '99' END AS version, CASE WHEN p_partkey % 2 = 0 AND NOT contains('Old ' || p_brand || ' first ' || p_size, '7.' || p_size) THEN p_name || ' 7.' || p_size ELSE 'Old ' || p_brand END AS title FROM part"""
+    """SELECT p_partkey AS feed, 'v7.' || CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '99' END AS version, CASE WHEN p_partkey % 2 = 0 AND NOT contains('Old ' || p_brand || ' first ' || p_size, '7.' || p_size) THEN p_name || ' 7.' || p_size ELSE 'Old ' || p_brand END AS title,
+    CASE WHEN p_partkey % 2 = 0 AND NOT contains('Old ' || p_brand || ' first ' || p_size, '7.' || p_size) THEN 'second' ELSE 'first ' || p_size END AS content FROM part"""
 )
 def feed_choice(spark, sf_dir):
     """Each feed's item of its target, else its first."""
     part = _read(spark, sf_dir, "part")
     target = part.selectExpr("p_partkey AS feed", "concat('7.', CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS STRING) ELSE '99' END) AS target")
     items = discovery.feed_items(part.select(F.col("p_partkey").alias("feed"), F.expr(_RSS).alias("body")))
-    return changelog.feed_items(items.join(target, "feed")).select("feed", "version", "title")
+    return changelog.feed_items(items.join(target, "feed")).select("feed", "version", "title", "content")
 
 
 _REQ = "CASE event_id % 6 WHEN 0 THEN 'https://a.example/app.CSS?x' WHEN 1 THEN 'https://www.google-analytics.com/c' WHEN 2 THEN 'https://a.example/data.json' WHEN 3 THEN 'https://a.example/i.webp' WHEN 4 THEN CAST(NULL AS STRING) ELSE 'https://a.example/css/page' END"
