@@ -66,3 +66,32 @@ def centred(rows: DataFrame) -> DataFrame:
     long = rows.select("group", "id", F.posexplode("vector").alias("at", "x"))
     mean = long.groupBy("group", "at").agg(F.avg("x").alias("m"))
     return long.join(mean, ["group", "at"]).groupBy("group", "id").agg(F.sum((F.col("x") - F.col("m")) * F.col("m")).alias("dot"))
+
+
+def _best(scored: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
+    """(page_id, keys): of each page's candidates the one of best score, the first version of equal ones: version, score, hit; pool: whether any is expected."""
+    ok = F.coalesce(V.matches(F.col("version"), F.col("expected")), F.lit(False))
+    rows = scored.join(pages.select("page_id", "expected"), "page_id").withColumn("ok", ok)
+    first = F.min_by(F.struct("version", "score", F.col("ok").alias("hit")), F.struct((-F.col("score")).alias("s"), "version"))
+    return rows.groupBy("page_id", *keys).agg(first.alias("best"), F.max("ok").alias("pool")).select("page_id", *keys, "best.*", "pool")
+
+
+def holdout(scored: DataFrame, pages: DataFrame) -> DataFrame:
+    """(model, pages, hits, share, pool, pool_hits, pool_share): how often each model's best candidate is the expected version, of all pages and of those that have it among their candidates.
+
+    scored: model, page_id, version, score; pages: page_id, expected. A page without
+    candidates is a miss; a model without any gives no row.
+    """
+    total = pages.count()
+    best = _best(scored, pages, "model").groupBy("model").agg(F.count_if("hit").alias("hits"), F.count_if("pool").alias("pool"), F.count_if(F.col("pool") & F.col("hit")).alias("pool_hits"))
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    n = F.lit(total).cast("long")
+    return best.select("model", n.alias("pages"), "hits", share(F.col("hits"), n).alias("share"), "pool", "pool_hits", share(F.col("pool_hits"), F.col("pool")).alias("pool_share"))
+
+
+def changes(scored: DataFrame, pages: DataFrame, old: str, new: str) -> DataFrame:
+    """(page_id, expected, old_version, old_score, new_version, new_score, change): what two models choose; better, worse or same, by whether it is expected. Pages without candidates of both give no row."""
+    of = lambda name, k: _best(scored.where(F.col("model") == name), pages).select("page_id", F.col("version").alias(f"{k}_version"), F.col("score").alias(f"{k}_score"), F.col("hit").alias(f"{k}_hit"))
+    rows = of(old, "old").join(of(new, "new"), "page_id").join(pages.select("page_id", "expected"), "page_id")
+    change = F.when(F.col("old_hit") == F.col("new_hit"), "same").when(F.col("new_hit"), "better").otherwise("worse")
+    return rows.select("page_id", "expected", "old_version", "old_score", "new_version", "new_score", change.alias("change"))
