@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 
@@ -48,6 +49,28 @@ def test_ftrl():
     assert all(math.isclose(x, want[i], rel_tol=1e-9) for i, x in zip(at.tolist(), w.tolist(), strict=True))
 
 
+def test_rows_not_held(spark, monkeypatch):
+    """The learner can go through all rows again and again, but they aren't in memory together."""
+    import weakref
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import toxicity as T
+
+    def learn(rows):
+        seen = [(weakref.ref(x), x.tolist(), y) for x, y in rows]
+        again = [(x.tolist(), y) for x, y in rows]
+        held = sum(ref() is not None for ref, _, _ in seen)
+        return np.array([held, len(again), sum(not x for x, _ in again)]), np.zeros(3), float([x[1:] for x in seen] == again)
+
+    monkeypatch.setattr(T, "learn", learn)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.concat_ws(" ", F.sequence(F.lit(1), F.col("id")))).alias("text"))
+    got = T.model(docs, docs.select("doc_id", F.lit(1).alias("toxic")))
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert got[0] == (-1, 1.0)
+    assert got[1][0] <= 1 and got[2][0] == len(train) and got[3][0] == sum(i % 7 == 0 for i in train)
+
+
 def _distance(p, q):
     """Jensen-Shannon distance by entropies."""
     if not sum(p) or not sum(q):

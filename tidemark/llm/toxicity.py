@@ -7,7 +7,9 @@ keeps most weights at zero, so that the rest can be broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,30 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (mix(np.concatenate(found)) >> U(64 - BITS)).astype(np.int64), np.concatenate(owner)
 
 
-def learn(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places with a weight, their weights, and the bias, from (places, 0 or 1) rows."""
+class Kept:
+    """(places, label) of batches of (doc_id, label, x), any number of times, with one batch in memory.
+
+    They stand in a file without a name in the task's local folder, which goes with it.
+    """
+
+    def __init__(self, it: Iterator[pa.RecordBatch]):
+        self.file, self.rows, writer = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None), 0, None
+        for batch in it:
+            writer = writer or pa.ipc.new_stream(self.file, batch.schema)
+            writer.write_batch(batch)
+            self.rows += batch.num_rows
+        if writer:
+            writer.close()
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        self.file.seek(0)
+        for batch in pa.ipc.open_stream(self.file) if self.rows else ():
+            for y, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                yield np.frombuffer(x.as_buffer(), dtype=np.int32), y
+
+
+def learn(rows: Iterable[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places with a weight, their weights, and the bias, from (places, 0 or 1) rows, gone through in each epoch."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bz = bn = 0.0
     for _ in range(EPOCHS):
@@ -77,9 +101,9 @@ def model(docs: DataFrame, labels: DataFrame, rows: int = LEARNED_ROWS) -> list[
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), batch.column(2).slice(i, j - i), pa.array(found, pa.binary())], names=["doc_id", "label", "x"])
 
     def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(np.frombuffer(x, dtype=np.int32), y) for batch in it for y, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        if seen:
-            at, w, b = learn(seen)
+        kept = Kept(it)
+        if kept.rows:
+            at, w, b = learn(kept)
             yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([b, *w.tolist()], pa.float64())], names=["at", "w"])
 
     one = batches(sample, places, "doc_id long, label int, x binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "x")
