@@ -45,17 +45,18 @@ def markdown_sections(rows: DataFrame, text: str = "text") -> DataFrame:
     A section ends at the next heading of its level or above. Lines in fenced code are no
     headings. Pages without such a heading, or with an empty section, give no row.
     """
+    # running windows of one order: lines are made and shuffled once, and no side of a join can be broadcast by a guess
+    so_far = Window.partitionBy("page_id").orderBy("pos")
     lines = _lines(rows, text)
-    fences = F.sum(F.col("line").startswith("```").cast("int")).over(Window.partitionBy("page_id").orderBy("pos"))
+    fences = F.sum(F.col("line").startswith("```").cast("int")).over(so_far)
     lines = lines.withColumn("level", F.when(fences % 2 == 0, F.nullif(F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)), F.lit(0))))
     title = F.trim(F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"[*_`]|\s+#+$", ""))
     lines = lines.withColumn("title", F.when(F.col("level").isNotNull(), title))
     lines = lines.withColumn("v", F.nullif(F.regexp_extract("title", r"v?(\d+(?:\.\d+){1,3})", 1), F.lit("")))
-    headings = lines.where("v is not null and (target is null or v = regexp_replace(target, '^[vV]+', ''))")
-    start = headings.groupBy("page_id").agg(F.min_by(F.struct("pos", "level", "title", "v"), "pos").alias("h"))
-    after = lines.join(start, "page_id").where("pos > h.pos")
-    stop = after.where("level <= h.level").groupBy("page_id").agg(F.min("pos").alias("stop"))
-    inside = after.join(stop, "page_id", "left").where("stop is null or pos < stop")
+    heading = F.when(F.expr("v is not null and (target is null or v = regexp_replace(target, '^[vV]+', ''))"), F.struct("pos", "level", "title", "v"))
+    after = lines.withColumn("h", F.first(heading, ignorenulls=True).over(so_far)).withColumn("past", F.col("pos") > F.col("h.pos"))
+    ended = F.coalesce(F.max(F.expr("past and level <= h.level")).over(so_far), F.lit(False))
+    inside = after.withColumn("ended", ended).where("past and not ended")
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n")
     found = inside.groupBy("page_id", "h").agg(T.tidy(F.regexp_replace(content, r"^\n+|\n+$", "")).alias("content")).where("content <> ''")
     return found.select("page_id", V.canonical(F.col("h.v")).alias("version"), F.col("h.title").alias("title"), F.nullif(F.regexp_extract("h.title", r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)", 1), F.lit("")).alias("date"), "content")
