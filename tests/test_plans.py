@@ -1,8 +1,10 @@
 """Plans of operators on pages: what grows with the pages is never broadcast, whatever Spark guesses of its size."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import changelog
+from tidemark.operators import candidates, changelog, features
+from tidemark.plans import fixture
 
 
 def _broadcasts(df) -> bool:
@@ -22,3 +24,13 @@ def test_markdown_sections(notes):
     assert not _broadcasts(found)
     got = {r.page_id: (r.version, r.date, r.content) for r in found.collect()}
     assert got == {1: ("v2.0", "2026-07-01", "- new\n```\n## 1.9\n```\n### More\nlast"), 2: ("v1.0", None, "- old"), 5: ("v0.9", None, "- first")}
+
+
+@pytest.fixture
+def pages(spark):
+    return fixture.pages(spark, "/root/testdata/sf0.001")
+
+
+def test_rank_features(pages):
+    found = candidates.contexts(pages)
+    assert not _broadcasts(features.rank_features(found.select("page_id", "version", F.lit(0.5).alias("prob")), found, pages))

@@ -106,15 +106,23 @@ def product_hits(pages: DataFrame) -> DataFrame:
     return found.where(~V.yearish(F.col("v"))).select("page_id", F.concat(F.lit("v"), "v").alias("version")).distinct()
 
 
+def _bound(x: Column, f) -> Column:
+    """f of x, with x worked out once: a function's own column would be, again for each element that f looks at."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _with_places(text: Column, pattern: str) -> Column:
     """(v, at) of every match: places are sums of the lengths of what lies between."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("between"))
+
+    def steps(p: Column) -> Column:
+        step = F.transform(p["found"], lambda v, i: F.length(F.get(p["between"], i)) + F.coalesce(F.length(F.get(p["found"], i - 1)), F.lit(0)))
+        return F.struct(p["found"].alias("found"), step.alias("steps"))
 
-    def place(v: Column, i: Column) -> Column:
-        return F.struct(v.alias("v"), (F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda s, x: s + F.length(x)) + 1).alias("at"))
+    def places(p: Column) -> Column:
+        return F.transform(p["found"], lambda v, i: F.struct(v.alias("v"), F.aggregate(F.slice(p["steps"], 1, i + 1), F.lit(1), lambda s, x: s + x).alias("at")))
 
-    return F.transform(found, place)
+    return _bound(_bound(parts, steps), places)
 
 
 def contexts(pages: DataFrame) -> DataFrame:
@@ -140,15 +148,16 @@ def contexts(pages: DataFrame) -> DataFrame:
         one("title", T.title(F.col("html"))), one("meta", T.meta_text(F.col("html"))), one("heading", T.headings(F.col("html"))), one("visible", T.visible_text(F.col("html"))),
         F.transform(anchors, link), F.transform(fields, lambda x: F.struct(F.lit("structured").alias("scope"), x.alias("text"))), F.transform(near, lambda x: F.struct(F.lit("noise").alias("scope"), x.alias("text"))),
     )
-    parts = base.select("page_id", F.posexplode(scoped).alias("part", "x")).select("page_id", "part", "x.scope", "x.text").where("text <> ''")
+    # what has no digit has no version, under any pattern
+    parts = base.select("page_id", F.posexplode(scoped).alias("part", "x")).select("page_id", "part", "x.scope", "x.text").where(F.col("text").rlike("[0-9]"))
     plain = r"(?<![0-9.])v?\d+(?:\.\d+){1,3}"
-    found = F.when(F.col("scope") == "noise", _with_places(F.col("text"), plain)).otherwise(F.concat(_with_places(F.col("text"), LOOSE_SEMVER), _with_places(F.col("text"), LOOSE_MINOR)))
-    rows = parts.select("page_id", "part", "scope", "text", F.posexplode(found).alias("nth", "m")).select("page_id", "part", "scope", "text", "nth", "m.v", "m.at")
+    of = lambda pattern, named: F.transform(_with_places(F.col("text"), pattern), lambda m: F.struct(m["v"].alias("v"), m["at"].alias("at"), F.lit(named).alias("named")))
+    found = F.when(F.col("scope") == "noise", of(plain, False)).otherwise(F.concat(of(LOOSE_SEMVER, False), of(LOOSE_MINOR, False), of(NAMED_MAJOR, True)))
+    rows = parts.select("page_id", "part", "scope", "text", F.posexplode(found).alias("nth", "m")).select("page_id", "part", "scope", "text", "nth", "m.v", "m.at", "m.named")
     before = F.substr("text", F.greatest(F.col("at") - 30, F.lit(1)), F.least(F.col("at") - 1, F.lit(30)))
-    rows = rows.where((F.col("scope") == "noise") | ~T.standard_before(before, STANDARDS, PLATFORMS))
-    named = parts.where("scope <> 'noise'").select("page_id", "part", "scope", "text", F.posexplode(_with_places(F.col("text"), NAMED_MAJOR)).alias("nth", "m"))
-    named = named.select("page_id", "part", "scope", "text", (F.col("nth") + 1_000_000).alias("nth"), F.regexp_extract("m.v", r"(\d{3})$", 1).alias("v"), "m.at", F.lower(F.regexp_extract("m.v", r"^([A-Za-z0-9-]+)", 1)).alias("word")).where(~F.col("word").isin(NOT_PRODUCTS)).drop("word")
-    rows = rows.unionByName(named)
+    word = F.lower(F.regexp_extract("v", r"^([A-Za-z0-9-]+)", 1))
+    rows = rows.where(F.when(F.col("named"), ~word.isin(NOT_PRODUCTS)).when(F.col("scope") == "noise", True).otherwise(~T.standard_before(before, STANDARDS, PLATFORMS)))
+    rows = rows.withColumn("v", F.when(F.col("named"), F.regexp_extract("v", r"(\d{3})$", 1)).otherwise(F.col("v")))
     snippet = T.clean_text(F.substr("text", F.greatest(F.col("at") - 90, F.lit(1)), F.lit(180)))
     rows = rows.select("page_id", (F.col("part").cast("long") * 10_000_000 + F.col("nth")).alias("ord"), V.normalized(V.purified(F.col("v"))).alias("version"), "scope", snippet.alias("text"))
     rows = rows.where(~V.iso_date(F.col("version")) & (F.col("text") != ""))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import versions as V
+from ..plans.tables import joined
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _EDGE = frozenset("0123456789.")
@@ -112,7 +113,7 @@ def mentions(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in pages.columns else F.lit("").alias(c) for c in ("html", "links", "downloads", "seen")]
     one = F.struct("version", F.coalesce(V.bare(F.col("version")), F.lit("")).alias("bare"))
     per = candidates.where("version is not null").groupBy("page_id").agg(F.sort_array(F.collect_set(one)).alias("versions"))
-    rows = pages.select("page_id", *texts).join(per, "page_id")
+    rows = joined(pages.select("page_id", *texts), per, "page_id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -16,7 +16,7 @@ from .functions import html as H
 from .functions import text as T
 from .functions import versions as V
 from .operators import arbitration, audit, candidates, changelog, datasets, evaluate, families, features, heuristics, models
-from .plans import extract, fixture
+from .plans import extract, fixture, tables
 from .sources import registries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -427,10 +427,10 @@ def rank_baselines(spark, sf_dir):
 def rank_features(spark, sf_dir):
     """All rank features of the context candidates."""
     pages = fixture.pages(spark, sf_dir)
-    found = candidates.contexts(pages)
     paths = H.element_paths(pages.where("html is not null")).groupBy("page_id", "version").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    found = tables.written(tables.joined(candidates.contexts(pages), paths, ["page_id", "version"], "left"))
     scored = found.select("page_id", "version", (F.lit(0.2) + 0.1 * F.size("scopes")).alias("prob"))
-    return features.rank_features(scored, found.join(paths, ["page_id", "version"], "left"), pages)
+    return features.rank_features(scored, found, pages)
 
 
 _FAMILY_SQL = f"""WITH RECURSIVE e AS (SELECT *, {_sql_evolution("version")} AS key, {_sql_segments("version")} AS segments FROM @cands WHERE prob > 0.3),
