@@ -115,3 +115,14 @@ def test_odd_rows(spark):
     some = [(p, f"{i}", 2 * (i == 0), "train", float(-i) if i < 2 else None) for p in range(30) for i in range(3)]
     model = R.trained(spark.createDataFrame(some, schema), ["x"], rounds=3)
     assert len(model.trees) == 3 and len({r.score for r in R.ranked(model, spark.createDataFrame(some, schema)).collect()}) == 2
+
+
+def test_kinds_of_pages(spark):
+    """Pages alike are one row of their number's weight, and training ends where no round can be better."""
+    one = [("1.0", 0, 0.0), ("2.0", 2, 1.0), ("3.0", 0, None)]
+    rows = [(p, v, label, ("train", "val", "test")[p % 3], x) for p in range(90) for v, label, x in one]
+    df = spark.createDataFrame(rows, "page_id long, version string, label int, fold string, x double")
+    kinds = R.by_page(df, R.Ranker(["x"], [[0.0]])).collect()
+    assert sorted((r.fold, r.weight) for r in kinds) == [("train", 30), ("val", 30)] and all(list(r.labels) == [0, 2, 0] for r in kinds)
+    model = R.trained(df, ["x"], rounds=30)
+    assert model.history == [(30, 1.0)] and len(model.trees) == 1

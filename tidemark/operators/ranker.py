@@ -143,47 +143,48 @@ def best_splits(sums: np.ndarray, least: int, reg: float) -> list[tuple[float, i
 
 def edges_of(rows: DataFrame, columns: list[str], bins: int) -> list[list[float]]:
     """The ends of bins: all values of a column that has few, else quantiles, each once."""
-    # the largest is no edge
-    found = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), [k / bins for k in range(1, bins)], 10_000).alias(c) for c in columns]).first()
-    few = rows.agg(*[F.collect_set(F.col(c).cast("double")).alias(c) for c in few_valued(rows, columns, bins)]).first()
+    # one row for each value: a plan of all columns side by side is larger than Spark can compile
+    values = rows.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("k", "x")) if columns else None
+    found = {r["k"]: r for r in values.groupBy("k").agg(F.percentile_approx("x", [k / bins for k in range(1, bins)], 10_000).alias("ends"), F.approx_count_distinct("x", 0.02).alias("n")).collect()} if columns else {}
+    few = [k for k, r in found.items() if r["n"] <= bins * 0.9]
+    all_ = {r["k"]: r["all"] for r in values.where(F.col("k").isin(few)).groupBy("k").agg(F.collect_set("x").alias("all")).collect()} if few else {}
     out = []
-    for c in columns:
-        own = sorted(x for x in few[c] if x == x)[:-1] if few and c in few.asDict() else sorted(set(x for x in found[c] or [] if x == x))
+    for k in range(len(columns)):
+        # the largest is no edge
+        own = sorted(x for x in all_[k] if x == x)[:-1] if k in all_ else sorted(set(x for x in (found[k]["ends"] if k in found else None) or [] if x == x))
         out.append([float(x) for x in own])
     return out
 
 
-def few_valued(rows: DataFrame, columns: list[str], bins: int) -> list[str]:
-    """Columns of so few values that each has a bin."""
-    n = rows.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.02).alias(c) for c in columns]).first()
-    return [c for c in columns if n[c] <= bins * 0.9]
-
-
 def by_page(rows: DataFrame, ranker: Ranker) -> DataFrame:
-    """A table of page_id, fold, labels, bins (a row for each candidate, as bytes) and score: one row for a page, candidates by version."""
+    """A table of fold, labels, bins (a row for each candidate, as bytes), score and weight: a row for each kind of page, candidates by version.
+
+    Pages of the same labels and bins teach the same: they are one row, of the weight of their number.
+    Those of the fold test teach nothing and aren't there.
+    """
     values = F.array(*[F.col(c).cast("double") for c in ranker.columns])
-    pages = rows.select("page_id", "fold", F.struct("version", F.col("label").cast("int").alias("label"), values.alias("x")).alias("one")).groupBy("page_id").agg(F.first("fold").alias("fold"), F.array_sort(F.collect_list("one")).alias("own"))
+    pages = rows.where("fold in ('train', 'val')").select("page_id", "fold", F.struct("version", F.col("label").cast("int").alias("label"), values.alias("x")).alias("one")).groupBy("page_id").agg(F.first("fold").alias("fold"), F.array_sort(F.collect_list("one")).alias("own"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            labels, bins, score = [], [], []
+            labels, bins = [], []
             for own in batch.column(2).to_pylist():
                 x = np.array([[np.nan if v is None else v for v in r["x"]] for r in own], dtype=np.float64)
                 labels.append([r["label"] for r in own])
                 bins.append(ranker.bins(x).tobytes())
-                score.append([0.0] * len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.list_(pa.int32())), pa.array(bins, pa.binary()), pa.array(score, pa.list_(pa.float64()))], names=["page_id", "fold", "labels", "bins", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(labels, pa.list_(pa.int32())), pa.array(bins, pa.binary())], names=["fold", "labels", "bins"])
 
-    return written(pages.mapInArrow(run, "page_id long, fold string, labels array<int>, bins binary, score array<double>"))
+    kinds = pages.mapInArrow(run, "fold string, labels array<int>, bins binary").groupBy("fold", "labels", "bins").agg(F.count("*").alias("weight"))
+    return written(kinds.select("fold", "labels", "bins", F.transform("labels", lambda _: F.lit(0.0)).alias("score"), "weight"))
 
 
-def _pages(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """(fold, labels, bins, score) of each page; columns fold, labels, bins, score."""
+def _pages(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(fold, labels, bins, score, weight) of each kind of page; columns fold, labels, bins, score, weight."""
     for batch in it:
         for k in range(batch.num_rows):
             labels = batch.column(1)[k].values.to_numpy().astype(np.int64)
             bins = np.frombuffer(batch.column(2)[k].as_buffer(), dtype=np.int16).reshape(len(labels), width)
-            yield batch.column(0)[k].as_py(), labels, bins, batch.column(3)[k].values.to_numpy()
+            yield batch.column(0)[k].as_py(), labels, bins, batch.column(3)[k].values.to_numpy(), batch.column(4)[k].as_py()
 
 
 def _histograms(pages: DataFrame, ranker: Ranker, tree: Tree, nodes: list[int], begin: int, size: int) -> np.ndarray:
@@ -194,18 +195,17 @@ def _histograms(pages: DataFrame, ranker: Ranker, tree: Tree, nodes: list[int],
         total = np.zeros((len(nodes), width, size, 3), dtype=np.int64)
         lookup = np.full(len(tree.feature), -1)
         lookup[list(slot)] = list(slot.values())
-        for _, labels, bins, score in _pages(it, width):
+        for _, labels, bins, score, weight in _pages(it, width):
             g, h = gradients(labels, score + ranker.score(bins, begin))
             at = lookup[tree.of(bins)]
             on = np.flatnonzero(at >= 0)
-            sums = np.stack([np.rint(g * 2**UNIT), np.rint(h * 2**UNIT), np.ones(len(g))], axis=1).astype(np.int64)[on]
-            for f in range(width):
-                np.add.at(total[:, f], (at[on], bins[on, f]), sums)
+            sums = weight * np.stack([np.rint(g * 2**UNIT), np.rint(h * 2**UNIT), np.ones(len(g))], axis=1).astype(np.int64)[on]
+            np.add.at(total, (at[on][:, None], np.arange(width), bins[on]), sums[:, None, :])
         some = np.flatnonzero(total.any(axis=3).reshape(-1))
         flat = total.reshape(-1, 3)[some]
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(flat[:, k]) for k in range(3)]], names=["place", "g", "h", "n"])
 
-    found = pages.where("fold = 'train'").select("fold", "labels", "bins", "score").mapInArrow(run, "place long, g long, h long, n long")
+    found = pages.where("fold = 'train'").mapInArrow(run, "place long, g long, h long, n long")
     rows = found.groupBy("place").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
     out = np.zeros((len(nodes) * width * size, 3))
     if rows.num_rows:
@@ -234,19 +234,21 @@ def _grown(pages: DataFrame, ranker: Ranker, begin: int, size: int, depth: int,
     return tree
 
 
-def _measured(pages: DataFrame, ranker: Ranker, begin: int) -> tuple[int, float]:
-    """(hits, mean NDCG of the first five) on the validation pages; a hit has a best candidate of label 2."""
+def _measured(pages: DataFrame, ranker: Ranker, begin: int) -> tuple[tuple[int, float], bool]:
+    """((hits, mean NDCG of the first five), whether neither can be higher) on the validation pages; a hit has a best candidate of label 2."""
     width = len(ranker.columns)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, hits, total = 0, 0, 0
-        for _, labels, bins, score in _pages(it, width):
+        for _, labels, bins, score, weight in _pages(it, width):
             s = score + ranker.score(bins, begin)
-            n, hits, total = n + 1, hits + int(labels[np.argmax(s)] == 2), total + round(ndcg(labels, s) * 2**UNIT)
+            n, hits, total = n + weight, hits + weight * int(labels[np.argmax(s)] == 2), total + weight * round(ndcg(labels, s) * 2**UNIT)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([hits]), pa.array([total])], names=["n", "hits", "total"])
 
-    r = pages.where("fold = 'val'").select("fold", "labels", "bins", "score").mapInArrow(run, "n long, hits long, total long").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("total").alias("total")).first()
-    return (int(r["hits"]), r["total"] / 2**UNIT / r["n"]) if r["n"] else (0, 0.0)
+    r = pages.where("fold = 'val'").mapInArrow(run, "n long, hits long, total long").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("total").alias("total")).first()
+    if not r["n"]:
+        return (0, 0.0), False
+    return (int(r["hits"]), r["total"] / 2**UNIT / r["n"]), r["hits"] == r["n"] and r["total"] == r["n"] * 2**UNIT
 
 
 def _advanced(pages: DataFrame, ranker: Ranker, begin: int) -> DataFrame:
@@ -255,9 +257,8 @@ def _advanced(pages: DataFrame, ranker: Ranker, begin: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            own = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
-            score = [(s + ranker.score(bins, begin)).tolist() for _, _, bins, s in _pages([own], width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score, pa.list_(pa.float64()))], names=batch.schema.names)
+            score = [(s + ranker.score(bins, begin)).tolist() for _, _, bins, s, _ in _pages([batch], width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score, pa.list_(pa.float64())), batch.column(4)], names=batch.schema.names)
 
     return written(pages.mapInArrow(run, pages.schema))
 
@@ -266,7 +267,8 @@ def trained(rows: DataFrame, columns: list[str], rounds: int = 500, depth: int =
     """A ranker from rows of page_id, version, label (0, 1, 2), fold (train, val, other) and columns.
 
     It has the trees up to the best round by hits on the validation pages, then by NDCG;
-    training ends when that was patience rounds ago, or when a tree finds no split. Without
+    training ends when that was patience rounds ago, when no later round could be better (all
+    pages hit, at an NDCG of 1), or when a tree finds no split. Without
     validation pages all rounds are made. Missing values are smallest. A page's candidates are
     held together; pages of one label teach nothing. No training rows give no trees.
     """
@@ -280,9 +282,10 @@ def trained(rows: DataFrame, columns: list[str], rounds: int = 500, depth: int =
             break
         ranker.trees.append(tree)
         if validated:
-            ranker.history.append(_measured(pages, ranker, begin))
+            now, perfect = _measured(pages, ranker, begin)
+            ranker.history.append(now)
             best = best if ranker.history[-1] <= (ranker.history[best - 1] if best else (-1, -1.0)) else len(ranker.trees)
-            if len(ranker.trees) - best >= patience:
+            if perfect or len(ranker.trees) - best >= patience:
                 break
         if len(ranker.trees) - begin >= KEPT:
             pages, begin = _advanced(pages, ranker, begin), len(ranker.trees)

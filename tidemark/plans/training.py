@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates, datasets, features, ranker
 from .extract import scored_by_rules
-from .tables import written
+from .tables import joined, written
 
 
 def ranking_rows(pages: DataFrame, wanted: Column, score=scored_by_rules) -> DataFrame:
@@ -18,7 +18,7 @@ def ranking_rows(pages: DataFrame, wanted: Column, score=scored_by_rules) -> Dat
     """
     found = written(candidates.contexts(pages))
     rows = features.rank_features(score(found), found, pages)
-    rows = rows.join(pages.select("page_id", wanted.alias("_wanted")), "page_id")
+    rows = joined(rows, pages.select("page_id", wanted.alias("_wanted")), "page_id")
     label = F.coalesce(datasets.graded(F.col("version"), F.col("_wanted"), F.lit(False)), F.lit(0))
     return written(datasets.split(datasets.with_target(rows.withColumn("label", label).drop("_wanted")), "page_id"))
 
