@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import versions as V
+from ..plans.tables import joined, written
 
 #: Fixed values.
 EDGE, CONTINUITY, ANCHORED, LOOSE, NEAR_TIE = 0.58, 0.72, 0.08, 0.03, 0.15
@@ -31,10 +32,8 @@ def nodes(scored: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.row_number().over(Window.partitionBy("page_id").orderBy("key", "version")))
 
 
-def _continuity(a: str, b: str) -> Column:
-    """How far b's numbers go on from a's; a and b are prefixes of columns."""
-    x = {k: F.col(f"{a}{k}") for k in ("major", "minor", "segments")}
-    y = {k: F.col(f"{b}{k}") for k in ("major", "minor", "segments")}
+def _continuity(x: Column, y: Column) -> Column:
+    """How far y's numbers go on from x's."""
     short_minor = F.when(x["segments"] == 2, x["minor"]).otherwise(y["minor"])
     apart = F.abs(x["segments"] - y["segments"])
     next_major = F.when(apart == 0, 0.85).when((apart == 1) & (short_minor == 0), 0.72).otherwise(0.0)
@@ -42,21 +41,25 @@ def _continuity(a: str, b: str) -> Column:
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """(page_id, a, b): joined neighbours by place, for nodes()."""
+    """found, as nodes() gives it, with joins: those of the next two places that a row is joined to. Windows of a page only, so that rows are shuffled once."""
     page = Window.partitionBy("page_id").orderBy("i")
     of_major = Window.partitionBy("page_id", "major")
-    paths = found.where("path is not null").groupBy("page_id", "major", "path").agg(F.count("*").alias("n"))
-    main = paths.withColumn("k", F.row_number().over(of_major.orderBy(F.desc("n"), "path"))).where("k = 1").select("page_id", "major", F.col("path").alias("main"))
-    rows = found.withColumn("members", F.count("*").over(of_major)).join(main, ["page_id", "major"], "left")
+    times = F.when(F.col("path").isNotNull(), F.count("*").over(Window.partitionBy("page_id", "major", "path")))
+    main = F.first("path").over(of_major.orderBy(F.desc_nulls_last("times"), "path").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = found.withColumn("times", times).withColumns({"members": F.count("*").over(of_major), "main": main})
     me = F.struct("i", "major", "minor", "segments", "yearish", "anchored", "members", "main")
-    pairs = rows.select("page_id", me.alias("x"), F.array(F.lead(me, 1).over(page), F.lead(me, 2).over(page)).alias("next")).select("page_id", "x", F.explode("next").alias("y")).where("y is not null")
-    flat = pairs.select("page_id", *[F.col(f"{s}.{k}").alias(f"{s}{k}") for s in "xy" for k in ("i", "major", "minor", "segments", "yearish", "anchored", "members", "main")])
-    steps = _continuity("x", "y")
-    weight = F.when((F.col("xyearish") != F.col("yyearish")) | (steps == 0), 0.0).otherwise(F.least(F.lit(1.0), steps * CONTINUITY + LOOSE + F.when(F.col("xanchored") & F.col("yanchored"), ANCHORED).otherwise(0.0)))
-    same = F.col("xmajor") == F.col("ymajor")
-    alike = F.col("xmain").isNull() | F.col("ymain").isNull() | (F.col("xmain") == F.col("ymain"))
-    backed = (F.col("xsegments") == F.col("ysegments")) | (F.least("xmembers", "ymembers") >= 2)
-    return flat.where((weight >= EDGE) & (same | (alike & backed))).select("page_id", F.col("xi").alias("a"), F.col("yi").alias("b"))
+    rows = rows.withColumn("x", me).withColumns({"y1": F.lead("x", 1).over(page), "y2": F.lead("x", 2).over(page)})
+
+    def goes_on(y: str) -> Column:
+        x, y = F.col("x"), F.col(y)
+        steps = _continuity(x, y)
+        weight = F.when((x["yearish"] != y["yearish"]) | (steps == 0), 0.0).otherwise(F.least(F.lit(1.0), steps * CONTINUITY + LOOSE + F.when(x["anchored"] & y["anchored"], ANCHORED).otherwise(0.0)))
+        alike = x["main"].isNull() | y["main"].isNull() | (x["main"] == y["main"])
+        backed = (x["segments"] == y["segments"]) | (F.least(x["members"], y["members"]) >= 2)
+        return F.when(y.isNotNull() & (weight >= EDGE) & ((x["major"] == y["major"]) | (alike & backed)), y["i"])
+
+    joins = F.filter(F.array(goes_on("y1"), goes_on("y2")), lambda b: b.isNotNull())
+    return rows.withColumn("joins", joins).drop("times", "members", "main", "x", "y1", "y2")
 
 
 def families(scored: DataFrame) -> DataFrame:
@@ -65,16 +68,17 @@ def families(scored: DataFrame) -> DataFrame:
     Labels are merged along each page's own joins, in one array per page.
     """
     found = nodes(scored)
-    joined = edges(found).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("joins"))
-    per = found.groupBy("page_id").agg(F.max("i").alias("n")).join(joined, "page_id", "left")
+    own = F.array_sort(F.collect_list(F.struct("i", *[c for c in found.columns if c not in ("page_id", "i")], "joins")))
+    per = edges(found).groupBy("page_id").agg(own.alias("own"))
+    joins = F.flatten(F.transform("own", lambda x: F.transform(x["joins"], lambda b: F.struct(x["i"].alias("a"), b.alias("b")))))
 
     def merged(labels: Column, e: Column) -> Column:
         x, y = F.get(labels, e["a"] - 1), F.get(labels, e["b"] - 1)
         return F.transform(labels, lambda z: F.when(z == F.greatest(x, y), F.least(x, y)).otherwise(z))
 
-    label = F.aggregate(F.coalesce("joins", F.array().cast("array<struct<a:int,b:int>>")), F.sequence(F.lit(1), F.col("n")), merged)
-    labels = per.select("page_id", F.posexplode(label).alias("k", "family")).select("page_id", (F.col("k") + 1).alias("i"), "family")
-    return found.join(labels, ["page_id", "i"])
+    label = F.aggregate(joins, F.transform("own", lambda x: x["i"]), merged)
+    rows = per.select("page_id", "own", label.alias("label")).select("page_id", F.explode(F.arrays_zip("own", "label")).alias("x"))
+    return rows.select("page_id", *[F.col(f"x.own.{c}").alias(c) for c in found.columns if c != "page_id"], F.col("x.label").alias("family"))
 
 
 def family_stats(members: DataFrame) -> DataFrame:
@@ -96,12 +100,12 @@ def selected(scored: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     score as its fixed point, as nearness isn't transitive. Less probable candidates of a
     member's major number may still be the greatest.
     """
-    members = families(eligible(scored)).select("page_id", "version", "prob", "key", "major", "minor", "anchored", "family")
+    members = written(families(eligible(scored)).select("page_id", "version", "prob", "key", "major", "minor", "anchored", "family"))
     stats = family_stats(members)
     if hits is not None:
-        named = members.withColumn("bare", V.bare(F.col("version"))).join(hits.select("page_id", V.bare(F.col("version")).alias("bare")).distinct(), ["page_id", "bare"])
+        named = joined(members.withColumn("bare", V.bare(F.col("version"))), hits.select("page_id", V.bare(F.col("version")).alias("bare")).distinct(), ["page_id", "bare"])
         named = named.select("page_id", "family").distinct().withColumn("named", F.lit(3.0))
-        stats = stats.join(named, ["page_id", "family"], "left")
+        stats = joined(stats, named, ["page_id", "family"], "left")
     else:
         stats = stats.withColumn("named", F.lit(0.0))
     total = F.col("score") + F.coalesce("named", F.lit(0.0)) - F.when(F.col("size") == 1, 1.2).otherwise(0.0)
@@ -109,10 +113,10 @@ def selected(scored: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     # sums of doubles differ in their last digits by the order of rows: those don't decide
     near = stats.withColumn("total", F.round(total, 9)).withColumn("gap", F.round(F.max("total").over(page) - F.col("total"), 9)).where(F.col("gap") <= NEAR_TIE)
     best = near.withColumn("k", F.row_number().over(page.orderBy(F.desc("size"), F.desc("trajectory"), F.desc("total"), "family"))).where("k = 1").select("page_id", "family", "size")
-    inside = members.join(best, ["page_id", "family"])
+    inside = joined(members, best, ["page_id", "family"])
     majors = inside.select("page_id", "major", "size").distinct()
     rest = scored.where((F.col("prob") > RESCUE_PROB) & ~V.yearish(F.col("version"))).withColumn("key", V.evolution_key(F.col("version")))
-    rest = rest.withColumn("major", F.col("key")[0]).join(majors, ["page_id", "major"]).select("page_id", "version", "prob", "key", "size")
+    rest = joined(rest.withColumn("major", F.col("key")[0]), majors, ["page_id", "major"]).select("page_id", "version", "prob", "key", "size")
     pool = inside.select("page_id", "version", "prob", "key", "size").unionByName(rest).distinct()
     top = pool.groupBy("page_id").agg(F.max(F.struct("key", "version", "prob", "size")).alias("p"))
     return top.select("page_id", "p.version", "p.prob", F.col("p.size").alias("family_size"))
@@ -128,7 +132,7 @@ def selected_by_seed(scored: DataFrame) -> DataFrame:
     valid = eligible(scored)
     seed = seeds(valid).select("page_id", F.col("version").alias("seed"), "margin")
     members = families(valid)
-    own = members.join(seed, "page_id").where("version = seed").select("page_id", "family", "margin", F.col("anchored").alias("strong_scope"))
+    own = joined(members, seed, "page_id").where("version = seed").select("page_id", "family", "margin", F.col("anchored").alias("strong_scope"))
     stats = family_stats(members).select("page_id", "family", "size", "latest")
-    rows = own.join(stats, ["page_id", "family"]).where("size > 1 or strong_scope")
+    rows = joined(own, stats, ["page_id", "family"]).where("size > 1 or strong_scope")
     return rows.select("page_id", F.col("latest").alias("version"), "margin", (F.col("strong_scope") | (F.col("size") > 1)).alias("strong"))

@@ -477,7 +477,7 @@ _MEMBERS = "(SELECT * FROM i JOIN f USING (page_id, i))"
 )
 def family_selection(spark, sf_dir):
     """Each page's version by its best family, product hits counted."""
-    rows = _family_input(spark, sf_dir)
+    rows = tables.written(_family_input(spark, sf_dir))
     return families.selected(rows, rows.where("prob > 0.9").select("page_id", "version"))
 
 
