@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import candidates, changelog, features
+from tidemark.operators import candidates, changelog, families, features, heuristics
 from tidemark.plans import fixture
 
 
@@ -34,3 +34,16 @@ def pages(spark):
 def test_rank_features(pages):
     found = candidates.contexts(pages)
     assert not _broadcasts(features.rank_features(found.select("page_id", "version", F.lit(0.5).alias("prob")), found, pages))
+
+
+def test_families(spark, tmp_path):
+    """One shuffle of a page's rows, no join."""
+    spark.createDataFrame([(1, "v1.0", 0.9), (1, "v1.1", 0.8), (1, "v7.0", 0.5)], "page_id long, version string, prob double").write.parquet(f"{tmp_path}/scored")
+    rows = spark.read.parquet(f"{tmp_path}/scored").select("*", F.array(F.lit("title")).alias("scopes"), F.lit(None).cast("string").alias("path"))
+    found = families.families(rows)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.version: r.family for r in found.collect()} == {"v1.0": 1, "v1.1": 1, "v7.0": 3}
+
+
+def test_rules(pages):
+    assert not _broadcasts(heuristics.extracted(pages))

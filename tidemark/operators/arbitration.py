@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import versions as V
+from ..plans.tables import joined
 from .asking import SECONDS, WINDOW, Ask
 from .asking import asked as calls
 from .candidates import SCOPES
@@ -21,9 +22,9 @@ CLOSE, SHOWN, WIDTH = 0.1, 40, 110
 
 def prompts(seeds: DataFrame, candidates: DataFrame, products: DataFrame) -> DataFrame:
     """(page_id, prompt) of pages whose margin is close and whose product is known: candidates, greatest first, with their best context."""
-    close = seeds.where(F.col("margin") < CLOSE).select("page_id").join(products.where("product <> ''").select("page_id", "product"), "page_id")
+    close = joined(seeds.where(F.col("margin") < CLOSE).select("page_id"), products.where("product <> ''").select("page_id", "product"), "page_id")
     worth = F.transform("contexts", lambda x: F.struct(F.array_position(F.array(*[F.lit(s) for s in SCOPES]), x["scope"]).alias("w"), x["scope"].alias("scope"), F.substring(x["text"], 1, WIDTH).alias("text")))
-    rows = candidates.join(close, "page_id").withColumn("best", F.array_min(worth))
+    rows = joined(candidates, close, "page_id").withColumn("best", F.array_min(worth))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc(V.prompt_key(F.col("version"))), "version"))).where(F.col("k") <= SHOWN)
     line = F.concat(F.col("version"), F.lit(" ["), F.col("best.scope"), F.lit("] "), F.col("best.text"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n")
@@ -45,7 +46,7 @@ def answered(asked: DataFrame, ask: Ask | Sequence[Ask] | None, window: int = WI
 
 def settled(selected: DataFrame, answers: DataFrame) -> DataFrame:
     """selected (page_id, version, margin) with answers in place of close choices, and confidence."""
-    rows = selected.join(answers.select("page_id", "answer"), "page_id", "left")
+    rows = joined(selected, answers.select("page_id", "answer"), "page_id", "left")
     sure: Column = (F.col("margin") >= CLOSE) | F.col("answer").isNotNull()
     return rows.select("page_id", F.coalesce("answer", "version").alias("version"), "margin", F.when(sure, "high").otherwise("low").alias("confidence"))
 

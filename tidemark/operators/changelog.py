@@ -12,7 +12,7 @@ from ..functions import blocks as B
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import versions as V
-from ..plans.tables import written
+from ..plans.tables import joined, written
 
 _HEADER = r"(?i)(?:Changes?\s+with\s+[^\s]+\s+|Changelog\s+(?:with\s+[^\s]+\s+)?|(?:^|\s)(?:v|version\s+)?)(\d+(?:\.\d+){1,3})(?=\s|$)"
 
@@ -31,9 +31,9 @@ def plain_sections(rows: DataFrame, text: str = "text") -> DataFrame:
     headers = lines.where("v is not null").withColumn("hit", F.coalesce(F.col("v") == V.bare(F.col("target")), F.lit(False)))
     first = F.row_number().over(page.orderBy(F.desc("hit"), F.when(F.col("hit"), F.col("pos")), F.desc(V.three_key(F.col("v"))), "pos"))
     start = headers.withColumn("k", first).where("k = 1").select("page_id", F.col("pos").alias("start"), F.col("v").alias("version"), F.col("line").alias("title"))
-    after = lines.join(start, "page_id").where("pos > start")
+    after = joined(lines, start, "page_id").where("pos > start")
     stop = after.where("v is not null and line <> title").groupBy("page_id").agg(F.min("pos").alias("stop"))
-    inside = after.join(stop, "page_id", "left").where("(stop is null or pos < stop) and line <> ''")
+    inside = joined(after, stop, "page_id", "left").where("(stop is null or pos < stop) and line <> ''")
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     found = inside.groupBy("page_id", "version", "title").agg(content.alias("content"))
     return found.select("page_id", V.canonical(F.col("version")).alias("version"), "title", T.date_in(F.col("title")).alias("date"), "content")
@@ -118,7 +118,7 @@ def changelogs(pages: DataFrame) -> DataFrame:
     quoted = F.regexp_replace(V.bare(F.col("target")), r"([.+*?^$(){}|\[\]\\])", r"\\$1")
     under = F.regexp_substr("html", F.concat(F.lit(r"(?is)<h([1-6])[^>]*>(?:(?!</h).)*?"), quoted, F.lit(r".*?</h\1>.*?(?=<h[1-6]|\z)")))
     under = F.regexp_replace(under, r"(?is)^<h([1-6])[^>]*>.*?</h\1>", "")
-    rows = rows.join(plain, "page_id", "left")
+    rows = joined(rows, plain, "page_id", "left")
     content = F.coalesce(own, container_text(F.col("html")), F.col("plain"), F.when(F.col("kind") != "js-render", F.coalesce(densest_block(article), first_dense_block(under), densest_block(T.section_text(F.col("html"))))))
     # a generator keeps the filter from being computed from the page once more for each use
     out = rows.select("page_id", V.canonical(F.coalesce("target", "plain_version", F.lit("0.0.0"))).alias("version"), F.explode(F.array(content)).alias("content"), "kind")
@@ -161,10 +161,10 @@ def by_source(pages: DataFrame, published: DataFrame, items: DataFrame) -> DataF
     target (the whole page if none does), and the page by its markup at all.
     """
     none = F.lit(None).cast("string")
-    out = pages.where("type = 'github-releases'").join(releases(published), "repo").select("page_id", F.lit(1).alias("attempt"), "version", "content")
-    asked = items.drop("target").join(pages.where("type = 'rss'").select("feed", "target").distinct(), "feed")
+    out = joined(pages.where("type = 'github-releases'"), releases(published), "repo").select("page_id", F.lit(1).alias("attempt"), "version", "content")
+    asked = joined(items.drop("target"), pages.where("type = 'rss'").select("feed", "target").distinct(), "feed")
     found = feed_items(asked).select("feed", "version", "content")
-    out = out.unionByName(pages.where("type = 'rss'").join(found, "feed").select("page_id", F.lit(2).alias("attempt"), "version", "content"))
+    out = out.unionByName(joined(pages.where("type = 'rss'"), found, "feed").select("page_id", F.lit(2).alias("attempt"), "version", "content"))
     page = written(pages.where("type = 'changelog-page'").select("page_id", "target", "html", "linked", "rendered", H.main_text("html").alias("main")))
     long_ = (F.length("content") > 100) & ~F.col("content").rlike(r"</?[a-z][\s>]")
     for attempt, target in ((3, F.col("target")), (4, none)):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import versions as V
+from ..plans.tables import joined
 from .candidates import occurrences, sequences
 from .mentions import mentions
 
@@ -40,7 +41,7 @@ def scored(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
         F.min_by("scope", first).alias("scope"), F.min_by("pattern", first).alias("pattern"), F.min("ord").alias("ord"),
         F.count("*").alias("n"), F.count_if(F.col("scope") == "structured").alias("n_structured"), F.count_distinct("scope").alias("n_scopes"),
     )
-    rows = per.join(mentions(page, per), ["page_id", "version"])
+    rows = joined(per, mentions(page, per), ["page_id", "version"])
     score = F.col("n") * (F.when(F.col("in_links"), 2).otherwise(0) + F.when(F.col("in_downloads"), 4).otherwise(0)) + _weight("scope", SCOPE_WEIGHT) + _weight("pattern", PATTERN_WEIGHT) + 3 * F.col("n_structured") + 2 * (F.col("n_scopes") - 1) + F.least("times", F.lit(5))
     return rows.select("page_id", "version", score.cast("long").alias("score"), "scope", "pattern", F.col("in_downloads").alias("in_download"), F.col("in_seen").alias("in_text"), "ord")
 
@@ -80,7 +81,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     json = F.when(T.is_json(html), T.json_version(html))
     best = picked(scored(pages)).select("page_id", F.col("version").alias("ruled"), F.col("scope"), F.col("confidence").alias("ruled_confidence"))
-    rows = pages.select("page_id", json.alias("json")).join(best, "page_id", "left")
+    rows = pages.select("page_id", json.alias("json"))
+    rows = joined(rows, best, "page_id", "left")
     version = F.coalesce("json", "ruled")
     source = F.when(F.col("json").isNotNull(), "json").otherwise(F.coalesce("scope", F.lit("none")))
     confidence = F.when(F.col("json").isNotNull(), "high").otherwise(F.coalesce("ruled_confidence", F.lit("low")))

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import versions as V
 from ..operators import arbitration, candidates, changelog, families, features, heuristics
 from ..sources import registries
-from .tables import written
+from .tables import joined, written
 
 
 def scored_by_rules(found: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def changelogs_of(pages: DataFrame, published: DataFrame | None = None, items: D
         rows = rows.join(has, key, "left").withColumn("type", F.when((F.col("type") == name) & F.col("has").isNull(), "changelog-page").otherwise(F.col("type"))).drop("has")
     rows = written(rows.withColumn("type", F.when(F.col("type").isin("github-tags", "none"), "changelog-page").otherwise(F.col("type"))))
     found = written(changelog.by_source(rows, published, items).select("page_id", "attempt", "content"))
-    rest = changelog.changelogs(rows.join(found.select("page_id"), "page_id", "left_anti").select("page_id", "html", "target"))
+    rest = changelog.changelogs(joined(rows, found.select("page_id"), "page_id", "left_anti").select("page_id", "html", "target"))
     return found.unionByName(rest.select("page_id", F.lit(10).alias("attempt"), "content"))
 
 
@@ -61,19 +61,20 @@ def extract(pages: DataFrame, score=scored_by_rules, rank=None, ask=None, regist
     if rank is None:
         chosen = families.selected(scored, hits).select("page_id", F.col("version").alias("chosen"), F.when(F.col("prob") >= 0.7, "high").when(F.col("prob") >= 0.3, "medium").otherwise("low").alias("how"))
     else:
-        ranked = scored.join(rank(features.rank_features(scored, found, pages)).select("page_id", "version", "score"), ["page_id", "version"])
-        seeds = families.selected_by_seed(ranked)
+        ranked = written(joined(scored, rank(features.rank_features(scored, found, pages)).select("page_id", "version", "score"), ["page_id", "version"]))
+        seeds = written(families.selected_by_seed(ranked))
         answers = arbitration.answered(arbitration.prompts(seeds, found, pages), ask)
         chosen = arbitration.settled(seeds, answers).select("page_id", F.col("version").alias("chosen"), F.col("confidence").alias("how"))
     rules = heuristics.extracted(pages).select("page_id", F.col("version").alias("ruled"), F.col("source").alias("rule_source"), F.col("confidence").alias("rule_confidence"))
     chosen, rules = written(chosen), written(rules)
-    rows = pages.select("page_id", "url", F.when(T.is_json(html), T.json_version(html)).alias("json")).join(chosen, "page_id", "left").join(rules, "page_id", "left")
-    rows = rows.join(registry.select("page_id", F.col("version").alias("known")), "page_id", "left") if registry is not None else rows.withColumn("known", F.lit(None).cast("string"))
+    rows = pages.select("page_id", "url", F.when(T.is_json(html), T.json_version(html)).alias("json"))
+    rows = joined(joined(rows, chosen, "page_id", "left"), rules, "page_id", "left")
+    rows = joined(rows, registry.select("page_id", F.col("version").alias("known")), "page_id", "left") if registry is not None else rows.withColumn("known", F.lit(None).cast("string"))
     version = F.coalesce("known", "json", "chosen", "ruled")
     source = F.when(F.col("known").isNotNull(), "registry").when(F.col("json").isNotNull(), "json").when(F.col("chosen").isNotNull(), "model").otherwise(F.col("rule_source"))
     confidence = F.when(F.coalesce("known", "json").isNotNull(), "high").when(F.col("chosen").isNotNull(), F.col("how")).otherwise(F.col("rule_confidence"))
     rows = rows.select("page_id", version.alias("version"), source.alias("source"), confidence.alias("confidence"), registries.classified(F.col("url"))["type"].alias("source_type"))
     rows = written(rows)
     own = pages.select("page_id", "url", "html", *[c for c in ("linked", "rendered") if c in pages.columns])
-    logs = changelogs_of(own.join(rows.select("page_id", F.col("version").alias("target")), "page_id"), published, items)
-    return rows.join(logs.select("page_id", F.col("content").alias("changelog")), "page_id", "left")
+    logs = changelogs_of(joined(own, rows.select("page_id", F.col("version").alias("target")), "page_id"), published, items)
+    return joined(rows, logs.select("page_id", F.col("content").alias("changelog")), "page_id", "left")
